@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import bpe, language_id, packing, quality_rules
+from tarnflow.llm import bpe, fingerprint, language_id, packing, quality_classifier, quality_rules
 from tarnflow.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,10 +25,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_packing, op7_quality_rules, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
