@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import bpe, fingerprint, language_id, packing, quality_classifier, quality_rules
+from tarnflow.llm import bpe, fingerprint, language_id, line_dedup, packing, quality_classifier, quality_rules
 from tarnflow.llm.common import documents
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(documents(spark, sf_dir), counts=True)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -33,6 +37,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe)}
 
 ORACLES: dict[str, str] = {}
