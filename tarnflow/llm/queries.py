@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import bpe, fingerprint, language_id, line_dedup, packing, quality_classifier, quality_rules
+from tarnflow.llm import bpe, fingerprint, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules
 from tarnflow.llm.common import documents
 
 
@@ -37,6 +37,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_line_dedup, op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe, op10_ngram_jaccard)
+}
 
 ORACLES: dict[str, str] = {}
