@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import bpe, fingerprint, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules
+from tarnflow.llm import bpe, fingerprint, jaccard_join, language_id, language_model, line_dedup, packing, quality_classifier, quality_rules
 from tarnflow.llm.common import documents
 
 
+def op2_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(documents(spark, sf_dir), counts=True)
 
@@ -43,7 +47,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_line_dedup, op4_language_id, op5_fingerprints, op6_packing, op7_quality_rules, op8_quality_classifier, op9_bpe, op10_ngram_jaccard)
+    for f in (
+        op2_gated_recurrent_lm,
+        op3_line_dedup,
+        op4_language_id,
+        op5_fingerprints,
+        op6_packing,
+        op7_quality_rules,
+        op8_quality_classifier,
+        op9_bpe,
+        op10_ngram_jaccard,
+    )
 }
 
 ORACLES: dict[str, str] = {}
