@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import bpe, fingerprint, jaccard_join, language_id, language_model, line_dedup, packing, quality_classifier, quality_rules
+from tarnflow.llm import bpe, fingerprint, jaccard_join, language_id, language_model, license_scan, line_dedup, packing, quality_classifier, quality_rules
 from tarnflow.llm.common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op2_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_gated_recurrent_lm,
         op3_line_dedup,
         op4_language_id,
