@@ -72,6 +72,9 @@ def chunks(text: str, s: Settings) -> list[tuple[int, int, bytes]]:
             found.append((start, at + 1, b"\n".join(lines[start : at + 1])))
             start = at + 1
     if start < len(lines):
+        # too short a rest belongs to the chunk before it
+        if found and len(lines) - start < s.least_lines:
+            start = found.pop()[0]
         found.append((start, len(lines), b"\n".join(lines[start:])))
     return found
 
