@@ -37,9 +37,9 @@ class Bands:
     chunk of ``chunk_bytes`` (a last one under half of that is not tested)."""
 
     level: int = 3
-    whole: tuple[tuple[int, float, float], ...] = ((64, 0.70, 2.3), (256, 1.05, 2.9), (512, 1.15, 3.3), (1024, 1.30, 3.6), (2048, 1.35, 4.2), (8192, 1.40, 5.0))
+    whole: tuple[tuple[int, float, float], ...] = ((64, 0.70, 2.3), (256, 1.15, 2.9), (512, 1.28, 3.3), (1024, 1.40, 3.6), (2048, 1.45, 4.2), (8192, 1.50, 5.0))
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (1.25, 4.0)
+    chunk: tuple[float, float] = (1.40, 4.0)
     #: Share of the chunks that may leave the band.
     chunk_share: float = 0.25
     min_words: int = 10
