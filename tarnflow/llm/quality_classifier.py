@@ -181,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def sample(rows: DataFrame) -> np.ndarray:
         got = map_texts(rows, work, "doc_id long, x array<float>").toPandas().sort_values("doc_id")
-        return np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), -1)
+        return np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), -1 if len(got) else 0)
 
     positive = sample(teaching.join(F.broadcast(good), "doc_id", "left_semi"))
     unlabelled = sample(teaching.filter(spread < share))
