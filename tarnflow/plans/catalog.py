@@ -1,36 +1,8 @@
-"""The registered queries of the engine's own operators, with their oracles."""
+"""All registered queries of the engine's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnflow.plans import queries_dataflow, queries_graph, queries_incremental  # noqa: F401  they register themselves
+from tarnflow.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query under ``name``, with DuckDB SQL for its rows if there is any."""
-
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-
-    return add
-
-
-@register(
-    "wordcount",
-    r"""SELECT word, count(*) AS cnt FROM (
-          SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents)
-        WHERE word <> '' GROUP BY word""",
-)
-def wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"[ \t\n\r\f]+")).alias("word"))
-    return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("cnt"))
+__all__ = ["ORACLES", "QUERIES"]
