@@ -178,16 +178,50 @@ def trim_dimensions(points: DataFrame, dimensions: int) -> DataFrame:
 # Exact cover
 
 
-def exact_cover(rows: list[frozenset], columns: list, chosen: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
-    """Sets of rows that cover every column once: the column with fewest rows first."""
-    if not columns:
-        yield chosen
-        return
-    column = min(columns, key=lambda c: (sum(c in r for r in rows if r), str(c)))
+def exact_cover(rows: list[frozenset], columns: list, start: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+    """Sets of rows that cover every column once and contain ``start``, in the order
+    of choice: always a column with the fewest rows left."""
+    holders: dict[object, set[int]] = {c: set() for c in columns}
     for k, row in enumerate(rows):
-        if row and column in row:
-            left = [r if r and not r & row else frozenset() for r in rows]
-            yield from exact_cover(left, [c for c in columns if c not in row], (*chosen, k))
+        for c in row:
+            holders[c].add(k)
+    rank = {c: n for n, c in enumerate(columns)}
+
+    def choose(k: int) -> list[tuple[object, set[int]]]:
+        """Take the row's columns out, and all rows that clash with it."""
+        taken = []
+        for c in rows[k]:
+            clashing = holders.pop(c)
+            for other in clashing:
+                for d in rows[other]:
+                    if d in holders:
+                        holders[d].discard(other)
+            taken.append((c, clashing))
+        return taken
+
+    def restore(taken: list[tuple[object, set[int]]]) -> None:
+        for c, clashing in reversed(taken):
+            for other in clashing:
+                for d in rows[other]:
+                    if d in holders:
+                        holders[d].add(other)
+            holders[c] = clashing
+
+    def search(chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not holders:
+            yield chosen
+            return
+        column = min(holders, key=lambda c: (len(holders[c]), rank[c]))
+        for k in sorted(holders[column]):
+            taken = choose(k)
+            yield from search((*chosen, k))
+            restore(taken)
+
+    for k in start:
+        if any(c not in holders for c in rows[k]):
+            return
+        choose(k)
+    yield from search(tuple(start))
 
 
 def sudoku_rows(board: list[list[int]], box: tuple[int, int]) -> tuple[list[frozenset], list, list[tuple[int, int, int]]]:
@@ -210,24 +244,19 @@ def cover_distributed(spark: SparkSession, rows: list[frozenset], columns: list,
     of its own, as row numbers in order."""
     prefixes: list[tuple[int, ...]] = [()]
     for _ in range(depth):
-        longer = []
+        longer: list[tuple[int, ...]] = []
         for prefix in prefixes:
-            used = frozenset().union(*(rows[k] for k in prefix)) if prefix else frozenset()
+            used = frozenset().union(*(rows[k] for k in prefix))
             left = [c for c in columns if c not in used]
-            if not left:
-                longer.append(prefix)
-                continue
-            open_rows = [(k, r) for k, r in enumerate(rows) if not r & used]
-            column = min(left, key=lambda c: (sum(c in r for _, r in open_rows), str(c)))
-            longer += [(*prefix, k) for k, r in open_rows if column in r]
+            free = [(k, r) for k, r in enumerate(rows) if not r & used]
+            column = min(left, key=lambda c: sum(c in r for _, r in free), default=None)
+            longer += [(*prefix, k) for k, r in free if column in r] if left else [prefix]
         prefixes = longer
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for prefix in batch.column("prefix").to_pylist():
-                used = frozenset().union(*(rows[k] for k in prefix)) if prefix else frozenset()
-                left = [r if not r & used else frozenset() for r in rows]
-                found = [sorted((*prefix, *more)) for more in exact_cover(left, [c for c in columns if c not in used])]
+                found = [sorted(cover) for cover in exact_cover(rows, columns, tuple(prefix))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.list_(pa.int64()))], names=["cover"])
 

@@ -50,7 +50,9 @@ class Projector:
         return prepared.join(state, "dk")
 
 
-IDENTITY = Projector(F.col("sk"))
+def identity_projector() -> Projector:
+    """The static key is the state key."""
+    return Projector(F.col("sk"))
 
 
 @dataclass
