@@ -245,67 +245,75 @@ def first_pairs(shared: DataFrame, s: Settings) -> DataFrame:
 
 
 def closing_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """``a, b`` in different components whose common prefix shingles allow a link.
+    """``a, b`` in different components that may be linked, by their common prefix
+    shingles.
 
     In each shingle's run the rows of other components than its first row's come
-    first and are remembered; rows of that component pass by.
+    first and are remembered; rows of that component pass by. A linked pair meets
+    three bounds at its first common shingle, and no other pairs leave the task:
+    sizes are similar; at most as many shingles stand before it in either set as
+    the two may differ by; and either prefix shares as many shingles with any
+    documents as the two must share.
     """
-    schema = "a long, b long, na int, nb int, c long"
+    schema = "a long, b long"
     kinds = arrow_schema(shared.sparkSession, schema)
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labelled = shared.select("h", "p", "n", "x").join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    # a pair has its first common shingle at a place of at most n - (least overlap)
+    early = shared.select("h", "p", "n", "x").filter(F.expr(f"p <= n - cast(ceil({s.percent} * n / 100.0D) as int)"))
+    own = shared.groupBy("x").agg(F.count("*").cast("int").alias("s"))
+    labelled = early.join(own, "x").join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     run_of = Window.partitionBy("h").orderBy("p", "n", "x")
     marked = labelled.repartition(n, "h").withColumn("other", F.col("component") != F.first("component").over(run_of))
-    rows = marked.select("h", "n", "x", "component", "other").sortWithinPartitions("h", F.desc("other"), "n", "x")
+    rows = marked.select("h", "n", "p", "s", "x", "component", "other").sortWithinPartitions("h", F.desc("other"), "n", "x")
     block = 1 << 20
 
+    def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows ``n, p, s, x, component`` pass the bounds."""
+        na, nb = a[:, 0], b[:, 0]
+        least = -(-s.percent * (na + nb) // (100 + s.percent))
+        rest = -(-s.percent * np.maximum(na, nb) // 100) - 1
+        return (a[:, 1] <= na - least) & (b[:, 1] <= nb - least) & (np.minimum(a[:, 2], b[:, 2]) >= least - rest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         size, shingle = 0, None
-        kept = np.empty((0, 3), dtype=np.int64)
-
-        def counted() -> pa.RecordBatch:
-            pairs, count = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            return to_batch(dict(zip(kinds.names, (*pairs.T[:2], *pairs.T[2:].astype(np.int32), count))), kinds)
-
+        kept = np.empty((0, 5), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = batch.column("h").to_numpy(zero_copy_only=False)
-            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "x", "component")], axis=1)
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "p", "s", "x", "component")], axis=1)
             other = batch.column("other").to_numpy(zero_copy_only=False)
             edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
             for low, high in zip(edges[:-1], edges[1:]):
                 if h[low] != shingle:
-                    shingle, kept = h[low], np.empty((0, 3), dtype=np.int64)
+                    shingle, kept = h[low], np.empty((0, 5), dtype=np.int64)
                 if not other[low] and not len(kept):
                     continue
                 at = low
                 while at < high:
-                    take = max(1, block // (len(kept) + high - low))
-                    rows = table[at : min(high, at + take)]
+                    rows = table[at : min(high, at + max(1, block // (len(kept) + high - low)))]
                     mine = rows[other[at : at + len(rows)]]
                     kept = np.concatenate([kept, mine])
                     # rows of the block against all remembered so far, itself included
-                    i, j = np.nonzero((kept[:, 2][:, None] != rows[:, 2][None, :]) & (100 * np.minimum(kept[:, :1], rows[:, 0]) >= s.percent * np.maximum(kept[:, :1], rows[:, 0])))
+                    i, j = np.nonzero((kept[:, 4][:, None] != rows[:, 4][None, :]) & (100 * np.minimum(kept[:, :1], rows[:, 0]) >= s.percent * np.maximum(kept[:, :1], rows[:, 0])))
                     inside = i - (len(kept) - len(mine))
-                    once = (inside < 0) | (inside < j) if len(mine) else np.ones(len(i), dtype=bool)
-                    i, j = i[once], j[once]
-                    if len(i):
-                        x, y = kept[i], rows[j]
-                        swap = x[:, 1] > y[:, 1]
-                        x[swap], y[swap] = y[swap].copy(), x[swap].copy()
-                        found.append(np.stack([x[:, 1], y[:, 1], x[:, 0], y[:, 0]], axis=1))
-                        size += len(i)
-                        if size > 400_000:
-                            yield counted()
-                            found, size = [], 0
+                    once = ((inside < 0) | (inside < j)) & may_link(kept[i], rows[j])
+                    x, y = kept[i[once], 3], rows[j[once], 3]
+                    if len(x):
+                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                        size += len(x)
+                        if size > 2_000_000:
+                            found = [np.unique(np.concatenate(found), axis=0)]
+                            size = len(found[0])
+                            if size > 1_000_000:
+                                yield to_batch(dict(zip(kinds.names, found[0].T)), kinds)
+                                found, size = [], 0
                     at += len(rows)
         if found:
-            yield counted()
+            yield to_batch(dict(zip(kinds.names, np.unique(np.concatenate(found), axis=0).T)), kinds)
 
-    pairs = rows.mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return pairs.filter(F.col("c") >= needed("na", "nb", s)).select("a", "b")
+    return rows.mapInArrow(run, schema).distinct()
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
