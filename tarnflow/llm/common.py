@@ -85,3 +85,20 @@ def keep_rows(docs: DataFrame, verdicts: Callable[[list, list[str]], list[bool]]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def most_frequent(counts: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of highest count, all others): at most ``most`` rows of whole levels
+    of the count's logarithm, found from one number for each level, so that no task
+    and no driver sees more than that."""
+    level = F.floor(F.log2(column) * 64)
+    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    total, cut = 0, None
+    for row in sorted(rows, key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > most:
+            break
+        cut = row["level"]
+    if cut is None:
+        return counts.filter(F.lit(False)), counts
+    return counts.filter(level >= cut), counts.filter(level < cut)

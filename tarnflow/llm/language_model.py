@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm import gru
-from tarnflow.llm.common import arrow_schema, id_and_text, parts, remainder_column, to_batch
+from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, to_batch
 from tarnflow.storage import materialize
 
 #: Stands for the end of a text among the counted words; no word has a space.
@@ -124,12 +124,14 @@ class Model:
         return np.where((ranks >= 0) & (ranks < last - 1), ranks + 1, last).astype(np.int32)
 
 
-def count(docs: DataFrame, s: Settings) -> tuple[DataFrame, Model]:
-    """All word counts, and an untrained model with the plain frequencies."""
+def count(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, Model]:
+    """All word counts, those beyond the head, and an untrained model with the
+    plain frequencies."""
     vocabulary = materialize(word_counts(docs, s), "words")
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
     tokens, distinct, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    head = vocabulary.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(s.head).toPandas()
+    frequent, rare = most_frequent(vocabulary.filter(F.col("word") != F.lit(END)), "c", s.head)
+    head = frequent.toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, counts = [bytes(w) for w in head["word"]], head["c"].to_numpy(dtype=np.int64)
     known = s.shape.vocabulary - 1
     rest_tokens = tokens - ends - int(counts[:known].sum())
@@ -137,7 +139,7 @@ def count(docs: DataFrame, s: Settings) -> tuple[DataFrame, Model]:
     plain[0], plain[-1] = ends, rest_tokens
     plain[1 : 1 + min(known, len(counts))] = counts[:known]
     model = Model(s, words, counts, gru.initial(s.shape, plain), tokens, distinct, rest_tokens, max(0, distinct - (ends > 0) - min(known, len(words))), ends)
-    return vocabulary, model
+    return vocabulary, rare, model
 
 
 def train(docs: DataFrame, model: Model) -> gru.Weights:
@@ -184,7 +186,7 @@ def train(docs: DataFrame, model: Model) -> gru.Weights:
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     s = settings
-    vocabulary, model = count(docs, s)
+    _, rare, model = count(docs, s)
     model.weights = train(docs, model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base_log, rest_log = np.log10(model.tokens + model.distinct + 1), np.log10(model.rest_tokens + model.rest_distinct + 1)
@@ -217,8 +219,6 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 yield to_batch(dict(zip(kinds.names, map(list, zip(*rows, *others)))), kinds)
 
     scored = materialize(id_and_text(docs).mapInArrow(run, schema), "scores")
-    least = int(model.counts[-1]) if len(model.counts) else 0
-    rare = vocabulary.filter((F.col("c") <= least) & (F.col("word") != F.lit(END)))
     tail = scored.filter("word IS NOT NULL").select("doc_id", "text_hash", "word", "tf").join(rare, "word", "left")
     zero, none = F.lit(0).cast("long"), F.lit(None)
     tail = tail.select(

@@ -125,7 +125,7 @@ def test_probabilities_sum_to_one(spark):
     rows = [(k, text) for k, text in corpus(2, 60) if text]
     s = lm.Settings(shape=gru.Shape(vocabulary=9, class_size=4, hidden=4), head=15, train_one_in=1)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    vocabulary, model = lm.count(frame, s)
+    vocabulary, _, model = lm.count(frame, s)
     model.weights = lm.train(frame, model)
     w, last = model.weights, s.shape.vocabulary
     first = gru.step(w, np.zeros((1, 4), dtype=np.float32), w["inputs"][[0]], 4)[-1]
