@@ -62,4 +62,4 @@ def route_operations(operations: DataFrame, shards: int, round_robin: bool = Fal
         return operations.withColumn("shard", shard_of("doc_id", shards))
     every = F.sequence(F.lit(0), F.lit(shards - 1))
     adds = operations.filter("op <> 'delete'").withColumn("op", F.lit("insert")).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
-    return operations.filter("op <> 'insert'").withColumn("op", F.lit("delete")).withColumn("shard", F.explode(every).cast("long")).unionByName(adds)
+    return operations.filter("op <> 'insert'").withColumn("op", F.lit("delete")).withColumn("shard", F.explode(every.cast("array<long>"))).unionByName(adds)

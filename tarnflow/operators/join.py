@@ -115,7 +115,7 @@ def compose(operation: str, kind: str, *paths: str) -> str:
 def side_join(df: DataFrame, side: DataFrame, key: list[str], how: str = "left", most_bytes: int = 64 << 20) -> DataFrame:
     """A join with a small side table, sent to every task if its estimated size is
     small enough, else an ordinary join."""
-    size = int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.join(F.broadcast(side) if size <= most_bytes else side, key, how)
 
 

@@ -17,10 +17,7 @@ MAX_FLOAT = 3.4028234663852886e38
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, whole: bool = False) -> DataFrame:
     """``value`` of every line; compressed files by suffix; ``glob`` filters names."""
-    reader = spark.read.option("wholetext", whole)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path)
+    return spark.read.text(path, wholetext=whole, pathGlobFilter=glob)
 
 
 def read_key_value(spark: SparkSession, path: str, separator: str = "\t", key_fields: int = 1) -> DataFrame:
