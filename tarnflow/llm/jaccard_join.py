@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import arrow_schema, id_and_text, parts, remainder_column, to_batch
+from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, to_batch
 from tarnflow.llm.components import connected_components
 from tarnflow.storage import materialize
 
@@ -125,7 +125,8 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndar
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["h", "n"])
 
     sample = id_and_text(docs).filter(remainder_column(s.sample) == 1).mapInArrow(run, "h long, n long")
-    counts = sample.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(s.frequent).toPandas()
+    counted = sample.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = most_frequent(counted, "n", s.frequent)[0].toPandas()
     found = counts["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], np.floor(np.log2(counts["n"].to_numpy(dtype=np.float64)[order])).astype(np.uint8) + 1
