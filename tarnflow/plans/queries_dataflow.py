@@ -181,6 +181,24 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.agg(F.count("*").alias("members"), F.count_if("maybe").alias("found"))
 
 
+@register("SELECT url, views, sum(views) OVER () = total AS verified FROM (SELECT event_type AS url, count(*) AS views FROM events GROUP BY 1), (SELECT count(*) AS total FROM events)")
+def db_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of each address, and whether they add up to the accesses."""
+    accesses = table(spark, sf_dir, "events").select(F.col("event_type").alias("url"))
+    views = accesses.groupBy("url").agg(F.count("*").alias("views"))
+    total = views.agg(F.sum("views").alias("seen")).crossJoin(accesses.agg(F.count("*").alias("total")))  # one row each
+    return views.crossJoin(F.broadcast(total)).select("url", "views", (F.col("seen") == F.col("total")).alias("verified"))
+
+
+@register(
+    f"""SELECT word, count(*) AS cnt FROM ({WORDS} UNION ALL {WORDS.replace('documents', 'benchmark')} UNION ALL {WORDS.replace('documents', 'conversations')}) WHERE word <> '' GROUP BY word"""
+)
+def multi_source_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of several inputs, read side by side."""
+    frames = [(table(spark, sf_dir, name), lambda f: f.select("text")) for name in ("documents", "benchmark", "conversations")]
+    return algorithms.wordcount(dataflow.by_source(frames))
+
+
 # Fields and maps
 
 
