@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from tarnflow.sources.sinks import key_value_lines
 def _lines(df: DataFrame, command: str, separator: str, key_fields: int) -> DataFrame:
     """One text column piped through ``command``, split into key and value."""
     spark = df.sparkSession
-    view = f"pipe_{abs(hash((command, id(df))))}"
+    view = f"pipe_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     quoted = command.replace("\\", "\\\\").replace("'", "\\'")
     fmt = "ROW FORMAT DELIMITED FIELDS TERMINATED BY '\\001' NULL DEFINED AS '\\\\N'"
     out = spark.sql(f"SELECT TRANSFORM(value) {fmt} USING '{quoted}' AS (line string) {fmt} FROM {view}")
+    spark.catalog.dropTempView(view)  # the plan is made
     key, value = split_key_value(F.col("line"), separator, key_fields)
     return out.filter("line IS NOT NULL").select(key.alias("key"), value.alias("value"))
 

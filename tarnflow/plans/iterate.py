@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, materialize
 
 
 class Projection(Enum):
@@ -88,7 +88,9 @@ class IterativeJob:
                 if threshold is not None:
                     distance = total_distance(state, new, self.distance)
                     converged = distance < threshold
-                state = new
+                before, state = state, new
+                if turn > 1 and hasattr(new, "_written_to"):
+                    discard(before)  # the new state is written and does not read it
                 if self.done:
                     self.done(turn, state)
                 if converged:

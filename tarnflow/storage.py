@@ -30,16 +30,29 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/tarnflow-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`materialize` returned, once nothing reads it any more."""
+    path = getattr(df, "_written_to", None)
+    for entry in [x for x in _written if x[1] == path]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:
     """Delete the tables that this process has written."""
     while _written:
-        spark, path = _written.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended; its folder goes with it
             continue
 
