@@ -141,27 +141,29 @@ def in_order(found: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.n
 
 
 def records(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, n, k1, k2, prefix`` of every row; the prefix of the first row of
-    each class in a task only."""
+    """``doc_id, n, k1, k2, rep, prefix`` of every row: ``rep`` is the first row of its
+    class in the same task, and only such rows have a prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, s))
-    schema = "doc_id long, n long, k1 long, k2 long, prefix binary"
+    schema = "doc_id long, n long, k1 long, k2 long, rep long, prefix binary"
     kinds = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen: dict[tuple, int] = {}
         for batch in batches:
             for ids, texts in parts(batch):
                 rows = []
                 for doc_id, text in zip(ids, texts):
                     found = shingles(text, s.words)
                     n, key = len(found), key_of(found)
-                    prefix = None
-                    if n and doc_id is not None and key not in seen:
-                        if len(seen) >= CACHE:
-                            seen.clear()
-                        seen.add(key)
-                        prefix = in_order(found, *frequent.value)[: s.prefix(n)].tobytes()
-                    rows.append((doc_id, n, *key, prefix))
+                    rep, prefix = None, None
+                    if n and doc_id is not None:
+                        rep = seen.get(key)
+                        if rep is None:
+                            if len(seen) >= CACHE:
+                                seen.clear()
+                            rep = seen[key] = doc_id
+                            prefix = in_order(found, *frequent.value)[: s.prefix(n)].tobytes()
+                    rows.append((doc_id, n, *key, rep, prefix))
                 yield to_batch(dict(zip(kinds.names, map(list, zip(*rows)))), kinds)
 
     return id_and_text(docs).mapInArrow(run, schema)
@@ -370,10 +372,12 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 
 
 def class_edges(known: DataFrame) -> DataFrame:
-    """``u, v``: each document with the smallest of its class of equal sets."""
-    filled = known.filter("n > 0 AND doc_id IS NOT NULL")
-    least = filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
-    return filled.join(least, ["n", "k1", "k2"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+    """``u, v``: links within classes of equal sets. Rows point at the first of their
+    class in the same task; only those, one for each task and class, are shuffled."""
+    near = known.filter("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    reps = known.filter("prefix IS NOT NULL").select("n", "k1", "k2", "doc_id")
+    least = reps.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
+    return near.union(reps.join(least, ["n", "k1", "k2"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
 
 
 def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
