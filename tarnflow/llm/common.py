@@ -33,17 +33,24 @@ def remainder_column(divisor: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces, so that only few rows at a time are Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def parts(batch: pa.RecordBatch, most: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of the batch in pieces of at most ``most`` characters, or one text."""
     ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        text = text or ""
-        if texts and size + len(text) > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(doc_id)
-        texts.append(text)
-        size += len(text)
+    for piece in slices(batch):
+        for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
+            text = text or ""
+            if texts and size + len(text) > most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
     if texts:
         yield ids, texts
 

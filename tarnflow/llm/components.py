@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, materialize
 
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         # stable once every edge points at a node that is smallest among its own
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (seen["n"], seen["h"]):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import BATCH_CHARS, arrow_schema, id_and_text, map_texts, to_batch
+from tarnflow.llm.common import BATCH_CHARS, arrow_schema, id_and_text, map_texts, slices, to_batch
 
 BINS = 64
 EMPTY = 0xFFFF
@@ -215,7 +215,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         ids: list = []
         texts: list[str] = []
         part, size, ended = None, 0, True
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             for p, copy, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "copy", "doc_id", "text"))):
                 if p != part:
                     part, ended = p, False

@@ -43,12 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, to_batch
+from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, slices, to_batch
 from tarnflow.llm.components import connected_components
 from tarnflow.storage import materialize
 
 #: Distinct words (and classes) that a worker remembers; then it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -357,7 +357,7 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             out = []
             for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
                 if text_a != last:

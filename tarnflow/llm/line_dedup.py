@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import arrow_schema, parts, to_batch
+from tarnflow.llm.common import arrow_schema, parts, slices, to_batch
 from tarnflow.storage import materialize
 
 KEY, CUTS = "__line_dedup_key", "__line_dedup_cuts"
@@ -176,7 +176,7 @@ def deduplicate(docs: DataFrame, settings: Settings = Settings(), counts: bool =
         return "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone), removed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             texts = batch.column(at).to_pylist()
             rows = [cut(text, listed) for text, listed in zip(texts, batch.column(CUTS).to_pylist())]
             columns = [batch.column(k) for k in range(len(docs_columns))]
