@@ -43,6 +43,9 @@ class Shape:
 
 Weights = dict[str, np.ndarray]
 
+#: Rows of a block of logits.
+ROWS = 2048
+
 
 def initial(shape: Shape, counts: np.ndarray, seed: int = 1) -> Weights:
     """Small random weights; biases give the plain frequencies ``counts`` of the
@@ -84,12 +87,13 @@ class Lanes:
     active: np.ndarray  # lanes in use at each step
 
 
-def lanes_of(docs: list[np.ndarray], most: int) -> Lanes:
+def lanes_of(docs: list[np.ndarray], most: int, open_ends: set[int] = frozenset()) -> Lanes:
     """Whole documents in at most ``most`` lanes, longest first into the shortest lane.
 
-    ``docs`` hold each document's ids without the end, which is added here.
+    ``docs`` hold each document's ids without the end, which is added here (but for
+    those numbered in ``open_ends``).
     """
-    sizes = np.fromiter((len(d) + 1 for d in docs), dtype=np.int64, count=len(docs))
+    sizes = np.fromiter((len(d) + (k not in open_ends) for k, d in enumerate(docs)), dtype=np.int64, count=len(docs))
     order = np.argsort(-sizes, kind="stable")
     lanes = min(most, len(docs))
     heap = [(0, k) for k in range(lanes)]
@@ -107,7 +111,8 @@ def lanes_of(docs: list[np.ndarray], most: int) -> Lanes:
     targets = np.zeros((steps, lanes), dtype=np.int32)
     owner = np.zeros((steps, lanes), dtype=np.int32)
     starts = np.zeros((steps, lanes), dtype=bool)
-    flat = np.concatenate([np.r_[d, 0] for d in docs]).astype(np.int32)
+    end = np.zeros(1, dtype=np.int32)
+    flat = np.concatenate([x for k, d in enumerate(docs) for x in ((d,) if k in open_ends else (d, end))]).astype(np.int32)
     first = np.cumsum(sizes) - sizes
     place = (np.repeat(row - first, sizes) + np.arange(len(flat)), np.repeat(lane, sizes))
     targets[place] = flat
@@ -124,6 +129,27 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def picked(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-softmax of each row at one place, and the row's softmax; ``x`` is
+    overwritten. The largest value is taken off only where an exponential could
+    overflow: states are below one, so logits are small unless weights are huge."""
+    if max(x.max(initial=0), -x.min(initial=0)) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    value = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    return value - np.log(total), x / total[:, None]
+
+
+def chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first of :func:`picked` alone."""
+    if max(x.max(initial=0), -x.min(initial=0)) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    value = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return value - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+
+
 def by_class(targets: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """The class of each target, and the rows of each class but the last."""
     group = targets // shape.class_size
@@ -143,12 +169,14 @@ def step(w: Weights, h: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarra
     return z, r, inner, c, c + z * (h - c)
 
 
-def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 256, window: int = 64) -> np.ndarray:
+def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 512, window: int = 64) -> np.ndarray:
     """Natural log-probability of each whole document, end included; other words
-    count with the chance of their class."""
+    count with the chance of their class. As many lanes as are filled while the
+    longest document takes its steps."""
     if not docs:
         return np.zeros(0)
-    lanes = lanes_of(docs, most_lanes)
+    sizes = [len(d) + 1 for d in docs]
+    lanes = lanes_of(docs, max(1, min(most_lanes, sum(sizes) // max(sizes))))
     total = np.zeros(len(docs))
     h = np.zeros((lanes.targets.shape[1], shape.hidden), dtype=np.float32)
     for low in range(0, len(lanes.active), window):
@@ -165,10 +193,10 @@ def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 25
             owner.append(lanes.owner[t, :n])
         hs, target = np.concatenate(states), np.concatenate(targets)
         group, rows_of = by_class(target, shape)
-        found = log_softmax(hs @ w["to_class"] + w["class_bias"])[np.arange(len(hs)), group]
+        found = chances(hs @ w["to_class"] + w["class_bias"], group)
         for g, rows in rows_of:
             part = slice(g * shape.class_size, (g + 1) * shape.class_size)
-            found[rows] += log_softmax(hs[rows] @ w["to_word"][part].T + w["word_bias"][part])[np.arange(len(rows)), target[rows] - part.start]
+            found[rows] += chances(hs[rows] @ w["to_word"][part].T + w["word_bias"][part], target[rows] - part.start)
         total += np.bincount(np.concatenate(owner), weights=found, minlength=len(docs))
     return total
 
@@ -190,19 +218,22 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
     hs = np.concatenate([t[4] + t[1] * (t[0] - t[4]) for t in trace])
     target = np.concatenate(targets)
     group, rows_of = by_class(target, shape)
-    n, each = len(hs), np.arange(len(hs))
-    logp = log_softmax(hs @ w["to_class"] + w["class_bias"])
-    loss = -logp[each, group].sum(dtype=np.float64)
-    d_class = np.exp(logp)
-    d_class[each, group] -= 1
-    grad = {"to_class": hs.T @ d_class, "class_bias": d_class.sum(axis=0), "to_word": {}, "word_bias": {}}
-    dh = d_class @ w["to_class"].T
+    n = len(hs)
+    grad = {"to_class": np.zeros_like(w["to_class"]), "class_bias": np.zeros_like(w["class_bias"]), "to_word": {}, "word_bias": {}}
+    dh, loss = np.empty_like(hs), 0.0
+    for low in range(0, n, ROWS):  # blocks that stay in the processor's cache
+        mine, at = hs[low : low + ROWS], group[low : low + ROWS]
+        logp, d_class = picked(mine @ w["to_class"] + w["class_bias"], at)
+        loss -= logp.sum(dtype=np.float64)
+        d_class[np.arange(len(at)), at] -= 1
+        grad["to_class"] += mine.T @ d_class
+        grad["class_bias"] += d_class.sum(axis=0)
+        np.matmul(d_class, w["to_class"].T, out=dh[low : low + ROWS])
     for g, rows in rows_of:
         part = slice(g * shape.class_size, (g + 1) * shape.class_size)
         mine, at = hs[rows], target[rows] - part.start
-        logp = log_softmax(mine @ w["to_word"][part].T + w["word_bias"][part])
-        loss -= logp[np.arange(len(rows)), at].sum(dtype=np.float64)
-        d_word = np.exp(logp)
+        logp, d_word = picked(mine @ w["to_word"][part].T + w["word_bias"][part], at)
+        loss -= logp.sum(dtype=np.float64)
         d_word[np.arange(len(rows)), at] -= 1
         grad["to_word"][g], grad["word_bias"][g] = d_word.T @ mine, d_word.sum(axis=0)
         dh[rows] += d_word @ w["to_word"][part]
@@ -214,11 +245,18 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
         low, high = ends[t] - len(before), ends[t]
         d = dh[low:high]
         d[: len(d_next)] += d_next
-        dz = d * (before - c) * z * (1 - z)
-        dc = d * (1 - z) * (1 - c * c)
-        dr = dc * inner * r * (1 - r)
-        d_inputs[low:high, :size], d_inputs[low:high, size : 2 * size], d_inputs[low:high, 2 * size :] = dz, dr, dc
-        da = np.concatenate([dz, dr, dc * r], axis=1)
+        rest = 1 - z
+        dc = d * rest
+        dz = dc * z
+        dz *= before - c
+        dc *= 1 - c * c
+        part = d_inputs[low:high]
+        part[:, :size], part[:, 2 * size :] = dz, dc
+        inner *= dc
+        inner *= r - r * r
+        part[:, size : 2 * size] = inner
+        da = part.copy()
+        da[:, 2 * size :] *= r
         d_recur += before.T @ da
         d_next = d * z + da @ w["recur"].T
         d_next[starts[t]] = 0
@@ -233,8 +271,8 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
 class Trainer:
     """Adagrad over windows of lanes; only touched rows are updated."""
 
-    def __init__(self, w: Weights, shape: Shape, rate: float = 0.15, lanes: int = 128, window: int = 32) -> None:
-        self.w, self.shape, self.rate, self.lanes, self.window = {k: v.copy() for k, v in w.items()}, shape, rate, lanes, window
+    def __init__(self, w: Weights, shape: Shape, rate: float = 0.15, lanes: int = 512, window: int = 16, stretch: int = 1024) -> None:
+        self.w, self.shape, self.rate, self.lanes, self.window, self.stretch = {k: v.copy() for k, v in w.items()}, shape, rate, lanes, window, stretch
         self.square = {k: np.full_like(v, 1e-2) for k, v in w.items()}
         self.tokens, self.loss = 0, 0.0
 
@@ -246,8 +284,10 @@ class Trainer:
         self.w[name][at] -= self.rate * grad / np.sqrt(self.square[name][at])
 
     def learn(self, docs: list[np.ndarray]) -> None:
-        """One pass over whole documents."""
-        lanes = lanes_of(docs, self.lanes)
+        """One pass over all words of the documents. Long ones are cut into stretches
+        of equal use to the lanes, which start like texts; nothing is left out."""
+        cuts = [(d, at) for d in docs for at in range(0, max(1, len(d)), self.stretch)]
+        lanes = lanes_of([d[at : at + self.stretch] for d, at in cuts], self.lanes, {k for k, (d, at) in enumerate(cuts) if at + self.stretch < len(d)})
         h = np.zeros((lanes.targets.shape[1], self.shape.hidden), dtype=np.float32)
         for low in range(0, len(lanes.active), self.window):
             steps = range(low, min(low + self.window, len(lanes.active)))

@@ -7,9 +7,8 @@
    the probabilities of all words and of one unknown word sum to one. Each task
    trains on its own documents from the broadcast weights by truncated
    backpropagation, and the weights are averaged by tokens, level by level, after
-   each of ``rounds`` disjoint shares of the documents. Work and gathered bytes
-   grow with the corpus; ``train_one_in`` training documents take part in
-   gradient steps (all of them are counted).
+   each of ``rounds`` disjoint shares of the documents. Every training document
+   takes part once; work and gathered bytes grow with the corpus.
 3. A narrow pass scores whole documents with the state carried from the first
    word to the end. Words beyond the broadcast head of the counts (a fixed
    number) go to an equi-join with all counts and are added up by document.
@@ -27,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,9 @@ class Settings:
     head: int = 1 << 18
     folds: int = 7
     held: int = 2
-    train_one_in: int = 4
     rounds: int = 2
     #: Rows of weights that meet in one task, or on the driver.
-    fan_in: int = 32
+    fan_in: int = 8
     #: Distinct words that a task counts before it hands them on.
     flush: int = 400_000
     #: Characters that stand in lanes together.
@@ -115,8 +114,7 @@ class Model:
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The place of each word in the head, or -1."""
-        get = self.lookup().get
-        return np.array([get(word, -1) for word in words], dtype=np.int64)
+        return np.fromiter(map(self.lookup().get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         """The network's id of each word: 1 and on, or that of all others."""
@@ -146,7 +144,7 @@ def train(docs: DataFrame, model: Model) -> gru.Weights:
     """Averaged weights after every round."""
     s = model.settings
     spark = docs.sparkSession
-    share = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(s.train_one_in * s.rounds))
+    share = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(s.rounds))
     kinds = arrow_schema(spark, "tokens double, w binary")
     shape = s.shape
     for turn in range(s.rounds):
@@ -174,12 +172,14 @@ def train(docs: DataFrame, model: Model) -> gru.Weights:
         rows = training(docs, s).filter(share == turn)
         trained = rows.mapInArrow(learn, "tokens double, w binary")
         left = rows.rdd.getNumPartitions()
-        while left > 1:
+        while left > s.fan_in:
             left = -(-left // s.fan_in)
             trained = trained.repartition(left).mapInArrow(add, "tokens double, w binary")
-        found = trained.collect()
+        found = trained.collect()  # at most fan_in rows
         if found:
-            model.weights = gru.unpack(bytes(found[0]["w"]), shape)
+            tokens = np.array([row["tokens"] for row in found])
+            parts_of = np.stack([np.frombuffer(row["w"], dtype=np.float32) for row in found])
+            model.weights = gru.unpack((tokens @ parts_of / tokens.sum()).astype(np.float32), shape)
     return model.weights
 
 

@@ -93,7 +93,7 @@ def fold(doc_id):
 
 def test_counts_and_base_scores(spark):
     rows = corpus(1)
-    s = lm.Settings(shape=gru.Shape(vocabulary=20, class_size=4, hidden=6), head=30, train_one_in=1, flush=25)
+    s = lm.Settings(shape=gru.Shape(vocabulary=20, class_size=4, hidden=6), head=30, flush=25)
     frame = spark.createDataFrame([(a, b, 3, 0.5) for a, b in rows], "doc_id long, text string, tf int, score double").repartition(4)
     got = sorted((tuple(r) for r in lm.score(frame, s).collect()), key=str)
     counts = Counter()
@@ -123,7 +123,7 @@ def test_counts_and_base_scores(spark):
 def test_probabilities_sum_to_one(spark):
     """Over every known word, an unknown one and the end, as a first token."""
     rows = [(k, text) for k, text in corpus(2, 60) if text]
-    s = lm.Settings(shape=gru.Shape(vocabulary=9, class_size=4, hidden=4), head=15, train_one_in=1)
+    s = lm.Settings(shape=gru.Shape(vocabulary=9, class_size=4, hidden=4), head=15)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     vocabulary, _, model = lm.count(frame, s)
     model.weights = lm.train(frame, model)
