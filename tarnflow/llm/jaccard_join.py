@@ -1,30 +1,34 @@
 """Similarity join of documents on word n-grams, by vertical partitioning.
 
 A document is its set of distinct five-word shingles (64-bit hashes; fewer words:
-the whole sequence as one). All shingles have one global order: rare before
-frequent, then by hash. The order is cut into fragments, overlaps are counted
-within fragments and summed per pair:
-
-1. One pass computes each set's size, a 128-bit key and its prefix, the
-   n - ceil(t n) + 1 first shingles in the global order: two sets of similarity t
-   share a shingle there. Equal sets (by key) form a class at once; within a
-   task only one of a class goes on.
-2. Prefix shingles are dealt by shingle, so each task holds one fragment of the
-   order; documents that share a shingle stand next to each other.
+the whole sequence as one). All shingles have one global order: by the number of
+documents that hold them, rare ones first, then by hash.
+
+1. One pass shingles the texts and deals each set's shingles to fragments of the
+   hash space. A fragment's task counts in how many sets each of its shingles
+   occurs, and returns to every set the number of its own shingles and those
+   that others have too, with their counts. Equal sets (by a 128-bit key) form a
+   class at once; within a task only one of a class goes on.
+2. Each set now knows its order, and takes its prefix, the n - ceil(t n) + 1 first
+   shingles: two sets of similarity t share one there. Only prefix shingles that
+   another set has too go on, dealt by shingle; so a document with a fifth of its
+   shingles to itself costs nothing more.
 3. First links: each document is compared with the one that leads a shared
    shingle and with its predecessor there, and only with those two that share
    most of its prefix. True links give first components.
-4. Closing: wherever documents of different components share a prefix shingle,
-   the common prefix shingles of the pair are counted within each fragment and
-   summed over the fragments. The sum bounds the whole overlap from above; pairs
-   that can reach the threshold are compared in full. Documents already known to
-   be connected are not paired again, so a group of n near copies costs about n
-   pairs, not n squared, and no link between components is missed.
+4. Closing: wherever documents of different components share a prefix shingle and
+   bounds on sizes, places and shared shingles allow a link, they are compared.
+   Documents already known to be connected are not paired again, so a group of n
+   near copies costs about n pairs, not n squared, and no link between components
+   is missed.
 
 A full comparison counts the overlap of the two sets by fragments of the order
-and sums. Texts travel to it, not sets (which are larger). Frequencies come from
-a documented share of the documents (``Settings.sample``): the order decides the
-cost, never the result.
+and sums. Texts travel to it, not sets (which are larger).
+
+The few shingles that occur in a thousandth of all documents or more, found in a
+sample (``Settings.sample``), are left out of the counting, so that no fragment
+has a row from every document; they are the last in the order. The order decides
+the cost, never the result.
 
 Defined cases: a null text, or one without words, is the empty set and linked
 with nothing; rows of one id are one document, linked if any of their texts are;
@@ -57,10 +61,17 @@ class Settings:
     words: int = 5
     #: Similarity in percent.
     percent: int = 80
-    #: One document in so many is counted to find frequent shingles.
+    #: One document in so many is counted to find frequent shingles: those of a
+    #: ``frequent_share`` of the sampled documents, and of ``frequent_least`` of them.
     sample: int = 16
-    #: Frequent shingles that the order knows of at most; all others count as rare.
+    frequent_share: float = 0.001
+    frequent_least: int = 16
+    #: Such shingles at most, the most frequent; all others are counted exactly.
     frequent: int = 1 << 18
+    #: Shingles that one task counts, about.
+    fragment_size: int = 3_000_000
+    least_fragments: int = 8
+    #: Parts of the hash space in which a full comparison counts.
     fragments: int = 8
     bitmap_power: int = 24
 
@@ -112,9 +123,9 @@ def key_of(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found more than once in the sample: sorted hashes, and the
-    logarithm of their counts. At most ``s.frequent`` of them."""
+def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
+    """Hashes of the shingles that very many documents share, rarest first; at most
+    ``s.frequent`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,69 +135,194 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndar
                     found, count = np.unique(found, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["h", "n"])
 
-    sample = id_and_text(docs).filter(remainder_column(s.sample) == 1).mapInArrow(run, "h long, n long")
-    counted = sample.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    counts = most_frequent(counted, "n", s.frequent)[0].toPandas()
-    found = counts["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], np.floor(np.log2(counts["n"].to_numpy(dtype=np.float64)[order])).astype(np.uint8) + 1
+    sample = id_and_text(docs).filter(remainder_column(s.sample) == 1)
+    least = max(s.frequent_least, int(s.frequent_share * sample.select("doc_id").count()))
+    counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = most_frequent(counted, "n", s.frequent)[0].toPandas().sort_values(["n", "h"])
+    return counts["h"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def in_order(found: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order: by level of frequency, then by hash."""
-    if not len(frequent) or not len(found):
-        return found
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    return found[np.argsort(np.where(frequent[at] == found, level[at], 0), kind="stable")]
+SEGMENTS = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, sizes binary, tokens binary"
+GRADED = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, alone binary, sizes binary, shared binary"
 
 
-def records(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, n, k1, k2, rep, prefix`` of every row: ``rep`` is the first row of its
-    class in the same task, and only such rows have a prefix."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, s))
-    schema = "doc_id long, n long, k1 long, k2 long, rep long, prefix binary"
-    kinds = arrow_schema(docs.sparkSession, schema)
+def segments(docs: DataFrame, s: Settings, count: int) -> DataFrame:
+    """The sets of some neighbouring documents, a batch, cut into ``count`` fragments.
+
+    A row with a ``place`` stands for one document: size and key of its set, the
+    first row of its class in the same task (``rep``), and the numbers of its very
+    frequent shingles (null if another row stands for the class, or the set is
+    empty). A row without stands for a fragment ``r`` of the batch: the lower 32
+    bits of the shingles, document by document, and how many each document has.
+    """
+    order = frequent_shingles(docs, s)
+    by_hash = np.argsort(order)
+    known = docs.sparkSession.sparkContext.broadcast((order[by_hash], by_hash.astype(np.uint32)))
+    kinds = arrow_schema(docs.sparkSession, SEGMENTS)
+
+    def cut(ids: list, texts: list[str], seen: dict) -> pa.RecordBatch:
+        frequent, number = known.value
+        sets, rows = [], []
+        for doc_id, text in zip(ids, texts):
+            found = shingles(text, s.words)
+            n, (k1, k2) = len(found), key_of(found)
+            rep, hot = None, None
+            if n and doc_id is not None:
+                rep = seen.get((k1, k2))
+                if rep is None:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    rep, hot = seen.setdefault((k1, k2), doc_id), b""
+                    if len(frequent):
+                        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+                        often = frequent[at] == found
+                        hot, found = np.sort(number[at[often]]).tobytes(), found[~often]
+            sets.append(found[:0] if hot is None else found)
+            rows.append((len(rows), doc_id, n, k1, k2, rep, hot, None, None))
+        batch = xxhash.xxh3_64_intdigest(repr(rows)) - (1 << 63)
+        rows = [(batch, batch % count, *row) for row in rows]
+        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        r = ((flat >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        tokens = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)[np.argsort(r, kind="stable")]
+        held = np.bincount(r * len(sets) + owner, minlength=count * len(sets)).reshape(count, len(sets)).astype(np.uint32)
+        ends = np.cumsum(held.sum(axis=1, dtype=np.int64))
+        for k in np.flatnonzero(held.any(axis=1)).tolist():
+            low = int(ends[k - 1]) if k else 0
+            rows.append((batch, k, None, None, None, None, None, None, None, held[k].tobytes(), tokens[low : int(ends[k])].tobytes()))
+        return to_batch(dict(zip(kinds.names, map(list, zip(*rows)))), kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for batch in batches:
             for ids, texts in parts(batch):
-                rows = []
-                for doc_id, text in zip(ids, texts):
-                    found = shingles(text, s.words)
-                    n, key = len(found), key_of(found)
-                    rep, prefix = None, None
-                    if n and doc_id is not None:
-                        rep = seen.get(key)
-                        if rep is None:
-                            if len(seen) >= CACHE:
-                                seen.clear()
-                            rep = seen[key] = doc_id
-                            prefix = in_order(found, *frequent.value)[: s.prefix(n)].tobytes()
-                    rows.append((doc_id, n, *key, rep, prefix))
-                yield to_batch(dict(zip(kinds.names, map(list, zip(*rows)))), kinds)
-
-    return id_and_text(docs).mapInArrow(run, schema)
-
-
-def entries(known: DataFrame) -> DataFrame:
-    """``h, p, n, x``: every prefix shingle with its place, the set's size and the id."""
+                yield cut(ids, texts, seen)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefixes = batch.column("prefix").to_pylist()
-            if not prefixes:
+    return id_and_text(docs).mapInArrow(run, SEGMENTS)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by a column without nulls, a table for each value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(column).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
                 continue
-            sizes = np.fromiter((len(p) // 8 for p in prefixes), dtype=np.int64, count=len(prefixes))
-            h = np.frombuffer(b"".join(prefixes), dtype=np.int64)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            each = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("n", "doc_id")]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(place.astype(np.int32)), pa.array(each[0].astype(np.int32)), pa.array(each[1])], names=["h", "p", "n", "x"])
+            if held and held[0].column(column)[0].as_py() != key[low]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joined(blobs: list[bytes], kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind)
+
+
+def cut_up(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The data's bytes in pieces of so many rows."""
+    ends = np.cumsum(sizes)
+    return [data[high - size : high].tobytes() for high, size in zip(ends.tolist(), sizes.tolist())]
+
+
+def graded(docs: DataFrame, s: Settings) -> DataFrame:
+    """The segments with, instead of the shingles, for each document the number
+    ``alone`` of those that no other set has, and ``shared``, the others with their
+    counts (``sizes`` of them)."""
+    letters = id_and_text(docs).agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
+    count = max(s.least_fragments, -(-letters // (6 * s.fragment_size)))
+    kinds = arrow_schema(docs.sparkSession, GRADED)
+
+    def grade(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All rows of one fragment."""
+        is_piece = rows.column("place").is_null()
+        docs_of = rows.filter(rows.column("place").is_valid())
+        for batch in docs_of.to_batches():
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds.names[:9]), none, none, none], schema=kinds)
+        pieces = rows.filter(is_piece)
+        if not pieces.num_rows:
+            return
+        blobs, held = pieces.column("tokens").to_pylist(), pieces.column("sizes").to_pylist()
+        lengths, documents = np.array([len(b) // 4 for b in blobs]), np.array([len(b) // 4 for b in held])
+        flat, sizes = joined(blobs), joined(held).astype(np.int64)
+        del blobs, held
+        order = np.argsort(flat, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+        number = np.diff(np.r_[start, len(flat)])
+        df = np.empty(len(flat), dtype=np.uint32)
+        df[order] = np.repeat(number, number)
+        del order
+        many = df > 1
+        before = np.r_[0, np.cumsum(many)]
+        bounds = np.r_[0, np.cumsum(sizes)]
+        others = np.diff(before[bounds])
+        pairs = np.stack([flat[many], df[many]], axis=1)
+        ends = np.r_[0, np.cumsum(lengths)]
+        out = {c: pieces.column(c).to_pylist() for c in ("batch", "r")} | {c: [None] * pieces.num_rows for c in kinds.names[2:9]}
+        out |= {"alone": cut_up((sizes - others).astype(np.uint32), documents), "sizes": cut_up(others.astype(np.uint32), documents), "shared": cut_up(pairs, np.diff(before[ends]))}
+        yield to_batch(out, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, "r"):
+            yield from grade(rows)
 
-    return known.filter("prefix IS NOT NULL").select("doc_id", "n", "prefix").mapInArrow(run, "h long, p int, n int, x long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments(docs, s, count).repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, GRADED)
+
+
+#: Set in the number of a very frequent shingle's entry.
+HOT = 1 << 61
+
+
+def entries(known: DataFrame, s: Settings) -> DataFrame:
+    """``h, p, n, x``: each prefix shingle that another set has too, with its place in
+    the set's order, the set's size and the id, from all rows of a batch at a time."""
+    schema = "h long, p int, n int, x long"
+    kinds = arrow_schema(known.sparkSession, schema)
+
+    def prefixes(rows: pa.Table) -> pa.RecordBatch:
+        # a batch that was read twice (the same rows in two tasks) counts once
+        heads = {row["place"]: row for row in rows.filter(rows.column("place").is_valid()).select(["place", "doc_id", "n", "hot"]).to_pylist()}
+        pieces = {row["r"]: row for row in rows.filter(rows.column("place").is_null()).select(["r", "alone", "sizes", "shared"]).to_pylist()}
+        heads = [heads[k] for k in sorted(heads)]
+        n = np.array([row["n"] for row in heads], dtype=np.int64)
+        alone = np.zeros(len(heads), dtype=np.int64)
+        for row in pieces.values():
+            alone += np.frombuffer(row["alone"], dtype=np.uint32)
+        need = np.where([row["hot"] is not None for row in heads], s.prefix(n) - alone, 0)
+        hot = [np.frombuffer(row["hot"], dtype=np.uint32) if k > 0 else np.empty(0, dtype=np.uint32) for row, k in zip(heads, need)]
+        whose = [np.repeat(np.arange(len(heads)), list(map(len, hot)))]
+        h, df = [np.concatenate(hot).astype(np.int64) + HOT], [np.full(len(whose[0]), 1 << 32, dtype=np.int64)]
+        for r, row in pieces.items():
+            owner = np.repeat(np.arange(len(heads)), np.frombuffer(row["sizes"], dtype=np.uint32))
+            mine = need[owner] > 0
+            pairs = np.frombuffer(row["shared"], dtype=np.uint32).reshape(-1, 2)[mine].astype(np.int64)
+            whose.append(owner[mine])
+            h.append((r << 32) | pairs[:, 0])
+            df.append(pairs[:, 1])
+        whose, h, df = map(np.concatenate, (whose, h, df))
+        order = np.lexsort((h, df, whose))
+        whose, h = whose[order], h[order]
+        place = np.arange(len(h)) - np.searchsorted(whose, whose)
+        kept = place < need[whose]
+        whose, place = whose[kept], place[kept]
+        ids = np.array([row["doc_id"] or 0 for row in heads], dtype=np.int64)
+        return to_batch({"h": h[kept], "p": (place + alone[whose]).astype(np.int32), "n": n[whose].astype(np.int32), "x": ids[whose]}, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, "batch"):
+            yield prefixes(rows)
+
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = known.select("batch", "r", "place", "doc_id", "n", "hot", "alone", "sizes", "shared")
+    return rows.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(run, schema)
 
 
-def shared_entries(known: DataFrame) -> DataFrame:
+def shared_entries(known: DataFrame, s: Settings) -> DataFrame:
     """The entries whose shingle two documents have, each with the first entry of
     its shingle (``lead, lead_n``) and the one before it (``prev, prev_n``).
 
@@ -221,7 +357,7 @@ def shared_entries(known: DataFrame) -> DataFrame:
             yield to_batch(dict(zip(kinds.names, ([c] for c in held[0]))), kinds)
 
     n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries(known).repartition(n, "h").sortWithinPartitions("h", "p", "n", "x").mapInArrow(run, schema)
+    return entries(known, s).repartition(n, "h").sortWithinPartitions("h", "p", "n", "x").mapInArrow(run, schema)
 
 
 def similar_size(a: str, b: str, s: Settings):
@@ -375,7 +511,7 @@ def class_edges(known: DataFrame) -> DataFrame:
     """``u, v``: links within classes of equal sets. Rows point at the first of their
     class in the same task; only those, one for each task and class, are shuffled."""
     near = known.filter("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    reps = known.filter("prefix IS NOT NULL").select("n", "k1", "k2", "doc_id")
+    reps = known.filter("rep = doc_id").select("n", "k1", "k2", "doc_id")
     least = reps.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
     return near.union(reps.join(least, ["n", "k1", "k2"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
 
@@ -383,8 +519,9 @@ def class_edges(known: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     s = settings
-    known = materialize(records(docs, s), "sets")
-    shared = materialize(shared_entries(known), "shared")
+    rows = materialize(graded(docs, s), "sets")
+    known = rows.filter("place IS NOT NULL")
+    shared = materialize(shared_entries(rows, s), "shared")
     classes = class_edges(known)
     tried = materialize(first_pairs(shared, s), "pairs")
     edge = [F.col("a").alias("u"), F.col("b").alias("v")]

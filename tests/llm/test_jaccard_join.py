@@ -79,7 +79,7 @@ def run(spark, rows, **settings):
 def test_equals_brute_force(spark):
     for seed in (1, 2, 3):
         rows = corpus(seed)
-        frame, s = run(spark, rows, sample=2)
+        frame, s = run(spark, rows, sample=2, frequent_least=3, least_fragments=5 * seed)
         got = sorted((tuple(r) for r in jj.join_components(frame, s).collect()), key=str)
         assert got == brute(rows)
 
@@ -98,7 +98,7 @@ def test_borderline_sizes(spark):
 
 def test_keep_one_each(spark):
     rows = corpus(4)
-    frame, s = run(spark, rows, sample=4)
+    frame, s = run(spark, rows, sample=1000)
     kept = jj.keep_one_each(frame, s)
     assert kept.columns == frame.columns
     label = {a: c for a, _, c in brute(rows)}
