@@ -69,7 +69,8 @@ def kmeans(points: DataFrame, centers: DataFrame, iterations: int, threshold: fl
     point needs all centers, which are few; a center without points stays."""
 
     def step(paired: DataFrame, state: DataFrame) -> DataFrame:
-        near = paired.select(nearest(F.col("sv"), F.col("state")).alias("dk"), F.posexplode("sv").alias("dim", "x"))
+        # the nearest center once for each point, before its dimensions become rows
+        near = paired.select(nearest(F.col("sv"), F.col("state")).alias("dk"), "sv").select("dk", F.posexplode("sv").alias("dim", "x"))
         means = near.groupBy("dk", "dim").agg(F.avg("x").alias("x"))
         vectors = means.groupBy("dk").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("new"))
         return state.join(vectors, "dk", "left").select("dk", F.coalesce("new", "dv").alias("dv"))
