@@ -5,13 +5,17 @@ the notice are anchors; the longest increasing subsequence of their places is
 matched, and the gaps between the matches are aligned in the same way. Coverage
 is the share of the notice's words that are matched.
 
-Two exact tests spare most texts the alignment. Any ``least`` share of a notice
+Exact tests spare most texts the alignment. Any ``least`` share of a notice
 must contain one of a few of its longest words, so texts without all of these
-pass at once. And the words that the notice and a window of twice its length have
-in common, with their numbers, bound the coverage from above; windows where the
-bound stays under ``least`` are skipped. Whole texts are searched, each notice
-is reported where it is covered best, and of notices that overlap the one of
-higher coverage (then longer, then first by name) stays.
+pass at once. And the words that the notice and the whole text, or a window of
+twice the notice's length, have in common, with their numbers, bound the coverage
+from above; where the bound stays under ``least`` nothing is aligned. Of the
+windows of a notice of ``LONG`` words or more, one in each sixteenth of its length
+is aligned, and the last of each run: any match within a window less a sixteenth
+lies whole in one of them. Whole texts are searched, each notice is reported
+where it is covered best, and of notices that overlap the one with most matched
+words (then of higher coverage, then first by name) stays, so that a notice does
+not hide a longer one that contains it.
 
 Defined cases: a null or empty text has no licences; equal rows get equal rows;
 an empty table gives no rows.
@@ -23,14 +27,18 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tarnflow.llm.common import map_texts
 from tarnflow.llm.license_texts import NOTICES
 
+#: Notices of so many words have their windows aligned in steps.
+LONG = 128
+
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
@@ -89,6 +97,7 @@ class Notice:
     words: tuple[str, ...]
     #: One of these is in every text that covers ``least`` of the notice.
     signs: tuple[str, ...]
+    counts: Counter[str] = field(compare=False)
 
 
 @dataclass(frozen=True)
@@ -106,23 +115,26 @@ def notices(least: float) -> tuple[Notice, ...]:
         words = words_of(text)
         order = sorted(words, key=lambda w: (-len(w), w))
         signs = order[: len(words) - needed(len(words), least) + 1]
-        found.append(Notice(name, tuple(words), tuple(dict.fromkeys(signs))))
+        found.append(Notice(name, tuple(words), tuple(dict.fromkeys(signs)), Counter(words)))
     return tuple(found)
 
 
+@lru_cache(maxsize=None)
 def needed(n: int, least: float) -> int:
     """The smallest number of matched words with a coverage of ``least``."""
     return next(k for k in range(n + 1) if k >= least * n - 1e-9)
 
 
 def windows(words: list[str], notice: Notice, least: float) -> Iterator[tuple[int, int]]:
-    """Each window of up to twice the notice's length that has enough words in
-    common with it; it starts and ends with such a word."""
-    want = Counter(notice.words)
+    """Windows of up to twice the notice's length that have enough words in common
+    with it, all or in steps; each starts and ends with such a word."""
+    want = notice.counts
     places = [k for k, word in enumerate(words) if word in want]
     goal, span = needed(len(notice.words), least), 2 * len(notice.words)
+    step = len(notice.words) // 16 if len(notice.words) >= LONG else 1
     have: Counter[str] = Counter()
-    common, low = 0, 0
+    common, low, due = 0, 0, 0
+    passed: tuple[int, int] | None = None
     for at in places:
         word = words[at]
         have[word] += 1
@@ -133,7 +145,39 @@ def windows(words: list[str], notice: Notice, least: float) -> Iterator[tuple[in
             have[gone] -= 1
             low += 1
         if common >= goal:
-            yield places[low], at + 1
+            passed = places[low], at + 1
+            if at >= due:
+                yield passed
+                passed, due = None, at + step
+        elif passed:
+            yield passed
+            passed, due = None, 0
+        else:
+            due = 0
+    if passed:
+        yield passed
+
+
+@lru_cache(maxsize=4)
+def vocabulary(least: float) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Number of each word of any notice; how often each notice (column) has it; the
+    matched words that each notice needs."""
+    known = notices(least)
+    number = {word: k for k, word in enumerate(sorted({word for x in known for word in x.counts}))}
+    times = np.zeros((len(number), len(known)), dtype=np.int32)
+    for column, x in enumerate(known):
+        for word, n in x.counts.items():
+            times[number[word], column] = n
+    return number, times, np.array([needed(len(x.words), least) for x in known])
+
+
+def may_be_covered(words: list[str], least: float) -> list[Notice]:
+    """The notices that have enough words in common with the text, with their numbers."""
+    number, times, goals = vocabulary(least)
+    have = Counter(number[word] for word in words if word in number)
+    at = np.fromiter(have.keys(), dtype=np.int64, count=len(have))
+    common = np.minimum(times[at], np.fromiter(have.values(), dtype=np.int32, count=len(have))[:, None]).sum(axis=0)
+    return [notices(least)[k] for k in np.flatnonzero(common >= goals)]
 
 
 def best_match(words: list[str], notice: Notice, least: float) -> Match | None:
@@ -151,14 +195,11 @@ def best_match(words: list[str], notice: Notice, least: float) -> Match | None:
 
 def scan(text: str, least: float = 0.8) -> list[Match]:
     """The notices that a whole text covers, in order of place."""
-    lower = text.lower()
-    hopeful = [x for x in notices(least) if any(sign in lower for sign in x.signs)]
-    if not hopeful:
-        return []
     words = words_of(text)
-    found = [(match, len(notice.words)) for notice in hopeful if (match := best_match(words, notice, least))]
+    hopeful = [x for x in may_be_covered(words, least) if not set(x.signs).isdisjoint(words)]
+    found = [(match, round(match.coverage * len(notice.words))) for notice in hopeful if (match := best_match(words, notice, least))]
     kept: list[Match] = []
-    for match, _ in sorted(found, key=lambda x: (-x[0].coverage, -x[1], x[0].name)):
+    for match, _ in sorted(found, key=lambda x: (-x[1], -x[0].coverage, x[0].name)):
         if all(match.end <= other.start or match.start >= other.end for other in kept):
             kept.append(match)
     return sorted(kept, key=lambda m: m.start)

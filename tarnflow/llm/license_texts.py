@@ -1,4 +1,6 @@
-"""Licence notices that the scan looks for."""
+"""Licence notices that the scan looks for: sentences, standard headers, SPDX lines, whole texts."""
+
+from tarnflow.llm.license_full_texts import TEXTS
 
 # Identifiers and the wording of public licence notices.
 NOTICES = {
@@ -34,3 +36,64 @@ NOTICES = {
         "following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
 }
+
+WARRANTY = (
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. "
+)
+#: The GNU licences: name, noun of the work, title, version.
+GNU = (
+    ("GPL-2.0", "program", "General Public License", "2"),
+    ("GPL-3.0", "program", "General Public License", "3"),
+    ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+    ("AGPL-3.0", "program", "Affero General Public License", "3"),
+)
+for name, noun, title, version in GNU:
+    grant = (
+        f"This {noun} is free software: you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software "
+        f"Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+    rest = f"You should have received a copy of the GNU {title} along with this {noun}. If not, see <https://www.gnu.org/licenses/>."
+    office = f"You should have received a copy of the GNU {title} along with this {noun}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    NOTICES[f"{name}-grant"] = grant
+    NOTICES[f"{name}-header"] = f"{grant} {WARRANTY.format(noun, title)}{rest}"
+    NOTICES[f"{name}-header-address"] = f"{grant} {WARRANTY.format(noun, title)}{office}"
+
+NOTICES |= {
+    "Apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a '
+        "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+        'under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+        "the specific language governing permissions and limitations under the License."
+    ),
+    "Apache-2.0-header-asf": (
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work "
+        "for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "
+        '"License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+        "can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-style-header": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+}
+NOTICES |= TEXTS
+
+#: Identifiers of SPDX lines.
+SPDX = (
+    "Apache-2.0 MIT ISC 0BSD BSD-2-Clause BSD-3-Clause BSL-1.0 Zlib Unlicense CC0-1.0 MPL-2.0 EPL-2.0 "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later "
+    "CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0"
+).split()
+NOTICES |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}

@@ -66,3 +66,19 @@ def test_rows(spark):
     got = sorted(((r.doc_id or 0, r.n_licenses, r.licenses, r.coverage) for r in ls.scan_licenses(frame).collect()))
     assert got == [(0, 1, "CC-BY-4.0", 1.0), (1, 0, "", 0.0), (2, 0, "", 0.0), (3, 0, "", 0.0), (4, 2, "MIT-notice,CC-BY-NC-4.0", 1.0), (4, 2, "MIT-notice,CC-BY-NC-4.0", 1.0)]
     assert ls.scan_licenses(frame.limit(0)).count() == 0
+
+
+def test_real_headers_and_whole_texts():
+    """Standard headers, SPDX lines and whole texts, also of other wording and without names."""
+    header = (
+        "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License as\n"
+        "# published by the Free Software Foundation; either version 2 of the\n# License, or (at your option) any later version.\n"
+    )
+    best = lambda text: [m.name for m in ls.scan(text)]
+    assert best(f"{header}\nimport os") == ["GPL-2.0-grant"]
+    assert best(header.replace("General", "Lesser General").replace("version 2", "version 3").replace("program", "library")) == ["LGPL-3.0-grant"]
+    assert best("// SPDX-License-Identifier: GPL-2.0-only\nint x;") == ["GPL-2.0-only-spdx"]
+    for name in ("Apache-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"):
+        rng = random.Random(5)
+        words = [w for w in ls.NOTICES[f"{name}-text"].split() if rng.random() > 0.03]
+        assert best(f"Copyright 2020 A. N. Author.\n{' '.join(words)}\nother text") == [f"{name}-text"], name
