@@ -38,9 +38,9 @@ from tarnflow.llm.common import BATCH_CHARS, arrow_schema, id_and_text, map_text
 BINS = 64
 EMPTY = 0xFFFF
 LEVELS = 5
-#: Levels whose phrases enter the sketch; texts under ``SHORT`` characters have
-#: too few of them and use one level more.
-FROM_LEVEL, SHORT = 3, 400
+#: Phrases of this and all higher levels enter the sketch, whatever the length of
+#: the text: sketches of different levels would not be alike.
+FROM_LEVEL = 2
 
 ONE = np.uint64(1)
 
@@ -123,16 +123,12 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + ONE
     first = np.zeros(len(symbols), dtype=bool)
     first[np.cumsum(sizes)[filled] - sizes[filled]] = True
-    short = sizes < SHORT
     flat = sketch.reshape(-1)
     for level in range(1, LEVELS + 1):
         symbols, first = phrases(symbols, first)
-        if level >= FROM_LEVEL - 1:
+        if level >= FROM_LEVEL:
             owner = filled[np.cumsum(first) - 1]
             taken = mix(symbols + np.uint64(level))
-            if level < FROM_LEVEL:
-                few = short[owner]
-                owner, taken = owner[few], taken[few]
             bins = owner * BINS + (taken % np.uint64(BINS)).astype(np.int64)
             np.minimum.at(flat, bins, ((taken >> np.uint64(32)) % np.uint64(EMPTY)).astype(np.uint16))
     whole[filled] = names(symbols, np.flatnonzero(first))

@@ -73,3 +73,18 @@ def test_small_tables(spark):
     assert one[2] == hashlib.sha256(b"abab").hexdigest() and one[6] == 1.0
     same = as_rows(fp.compare_edits(spark.createDataFrame([(1, "abc"), (1, "abc"), (1, "abc")], schema)))
     assert len(same) == 3 and {r[6] for r in same} == {1.0}
+
+
+def test_likeness_does_not_depend_on_the_side_of_a_length():
+    """A near copy is as near when the lengths lie on both sides of 400 characters."""
+    rng = random.Random(6)
+    near = {}
+    for short, long in ((395, 405), (385, 395), (405, 415)):
+        found = []
+        for _ in range(40):
+            text = prose(rng, 120)[:long]
+            whole, sketch = fp.fingerprints([text[:short], text])
+            found.append(fp.likeness((whole[:1], sketch[:1]), (whole[1:], sketch[1:]))[0])
+        near[short] = np.mean(found)
+    assert min(near.values()) > 0.8
+    assert max(near.values()) - min(near.values()) < 0.1
