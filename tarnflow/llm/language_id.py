@@ -1,9 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Learning is one distributed count: every partition adds up its n-gram buckets by
-language, the sums meet in one aggregate of at most languages x buckets rows, and
-the log-probability matrix of that fixed size is broadcast. Scoring is a narrow
-pass that sums matrix rows over each text's n-grams in numpy.
+language, and the sums meet in one aggregate of at most languages x buckets rows.
+Every language is learnt; the log-probabilities are collected and broadcast as one
+matrix for each ``languages`` of them (64 KB a language). Scoring is a narrow pass
+that sums matrix rows over each text's n-grams in numpy. The language is the one of
+the highest full sum plus prior; only the reported score is tempered.
 
 Defined cases: a text without a letter (or null) is ``und`` with score 0; ties go
 to the first language in order of name; with no labelled row every text is
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import keep_rows, map_texts, parts, remainder, remainder_column
+from tarnflow.storage import materialize
 
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -32,10 +35,10 @@ class Settings:
     buckets: int = 1 << 14
     orders: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.5
-    #: At most so many languages are learnt, the most frequent by rows.
+    #: A matrix holds so many languages at most; more take several matrices.
     languages: int = 200
-    #: Evidence beyond so many n-grams is scaled down, so that the score of a
-    #: long text is not always one.
+    #: For the reported score, the sum and prior of a text of more n-grams are
+    #: scaled down to so many, so that the score of a long text is not always one.
     evidence: float = 60.0
 
 
@@ -75,39 +78,49 @@ class Model:
     settings: Settings
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language and its posterior for each text."""
-        if not self.names or not texts:
-            return [UND] * len(texts), [0.0] * len(texts)
-        bucket, owner = buckets_of(texts, self.settings)
-        # sparse rows (text, bucket, count) times the matrix
-        cell, count = np.unique(owner.astype(np.int64) * self.settings.buckets + bucket, return_counts=True)
-        row, column = cell // self.settings.buckets, cell % self.settings.buckets
-        total = np.zeros((len(texts), len(self.names)))
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        total[row[starts]] = np.add.reduceat(self.weights[column] * count[:, None], starts, axis=0)
-        n = np.bincount(owner, minlength=len(texts))
-        total = total * (np.minimum(n, self.settings.evidence) / np.maximum(n, 1))[:, None] + self.prior
-        total -= total.max(axis=1, keepdims=True)
-        odds = np.exp(total)
-        odds /= odds.sum(axis=1, keepdims=True)
-        best = odds.argmax(axis=1)
-        names, scores = [], []
-        for k, text in enumerate(texts):
-            letters = LETTER.search(text) is not None
-            names.append(self.names[best[k]] if letters else UND)
-            scores.append(float(odds[k, best[k]]) if letters else 0.0)
-        return names, scores
-
-
-def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
+        """The language and its tempered posterior for each text."""
+        return predict([self], texts)[:2]
+
+
+def predict(models: list[Model], texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """The language of each text, its tempered posterior and its posterior; the
+    models hold different languages, in order of name."""
+    every = [name for model in models for name in model.names]
+    if not every or not texts:
+        return [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    s = models[0].settings
+    bucket, owner = buckets_of(texts, s)
+    # sparse rows (text, bucket, count) times the matrices
+    cell, count = np.unique(owner.astype(np.int64) * s.buckets + bucket, return_counts=True)
+    row, column = cell // s.buckets, cell % s.buckets
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    total = np.zeros((len(texts), len(every)))
+    at = 0
+    for model in models:
+        upto = at + len(model.names)
+        total[row[starts], at:upto] = np.add.reduceat(model.weights[column] * count[:, None], starts, axis=0)
+        total[:, at:upto] += model.prior
+        at = upto
+    n = np.bincount(owner, minlength=len(texts))
+    total -= total.max(axis=1, keepdims=True)
+    best = total.argmax(axis=1)
+    # the best language has the sum 0
+    tempered = 1 / np.exp(total * (np.minimum(n, s.evidence) / np.maximum(n, 1))[:, None]).sum(axis=1)
+    plain = 1 / np.exp(total).sum(axis=1)
+    letters = [LETTER.search(text) is not None for text in texts]
+    names = [every[k] if some else UND for k, some in zip(best, letters)]
+    return names, *([float(x) if some else 0.0 for x, some in zip(scores, letters)] for scores in (tempered, plain))
+
+
+def learn(docs: DataFrame, settings: Settings = Settings()) -> list[Model]:
     """Count n-grams by language over all rows of ``docs`` that have a ``lang``."""
     s = settings
     labelled = docs.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    by_rows = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages).collect()
-    names = sorted(row["lang"] for row in by_rows)
+    rows = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(rows)
     place = {name: k for k, name in enumerate(names)}
     if not names:
-        return Model([], np.zeros((s.buckets, 0)), np.zeros(0), s)
+        return []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -117,24 +130,32 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
                 bucket, owner = buckets_of(texts, s)
                 lang = np.fromiter((place.get(x, -1) for x in langs), dtype=np.int64, count=len(langs))[owner]
                 known = lang >= 0
-                cells = np.bincount(lang[known] * s.buckets + bucket[known], minlength=1).astype(np.int64)
-                for k in range(0, len(cells), s.buckets):
-                    part = cells[k : k + s.buckets]
-                    if part.any():
-                        total = seen.setdefault(k // s.buckets, np.zeros(s.buckets, dtype=np.int64))
-                        total[: len(part)] += part
+                present, which = np.unique(lang[known], return_inverse=True)
+                cells = np.bincount(which * s.buckets + bucket[known], minlength=len(present) * s.buckets).astype(np.int64)
+                for k, part in zip(present.tolist(), cells.reshape(-1, s.buckets)):
+                    if k in seen:
+                        seen[k] += part
+                    else:
+                        seen[k] = part.copy()
         for k, total in seen.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k * s.buckets + used, type=pa.int64()), pa.array(total[used], type=pa.int64())], names=["cell", "n"])
 
-    cells = labelled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(names) * s.buckets)
-    counts[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.float64)
-    counts = counts.reshape(len(names), s.buckets) + s.smoothing
-    weights = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    rows = {row["lang"]: row["n"] for row in by_rows}
-    prior = np.log(np.array([rows[name] for name in names], dtype=np.float64) / sum(rows.values()))
-    return Model(names, np.ascontiguousarray(weights), prior, s)
+    cells = labelled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    if len(names) > s.languages:
+        cells = materialize(cells, "cells")
+    models = []
+    for at in range(0, len(names), s.languages):
+        some = names[at : at + s.languages]
+        low, high = at * s.buckets, (at + len(some)) * s.buckets
+        found = cells.filter(F.col("cell").between(low, high - 1)).toPandas()
+        counts = np.zeros(len(some) * s.buckets)
+        counts[found["cell"].to_numpy(dtype=np.int64) - low] = found["n"].to_numpy(dtype=np.float64)
+        counts = counts.reshape(len(some), s.buckets) + s.smoothing
+        weights = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        prior = np.log(np.array([rows[name] for name in some], dtype=np.float64) / sum(rows.values()))
+        models.append(Model(some, np.ascontiguousarray(weights), prior, s))
+    return models
 
 
 def teaching(docs: DataFrame) -> DataFrame:
@@ -144,10 +165,10 @@ def teaching(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The predicted language of every row; learnt from the rows that may teach."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(teaching(docs), settings))
+    models = [docs.sparkSession.sparkContext.broadcast(model) for model in learn(teaching(docs), settings)]
 
     def work(ids: list, texts: list[str]) -> dict[str, list]:
-        names, scores = model.value.predict(texts)
+        names, scores, _ = predict([model.value for model in models], texts)
         return {"doc_id": ids, "held_out": [remainder(k, 4) == 2 for k in ids], "lang_pred": names, "score": scores}
 
     return map_texts(docs, work, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -155,10 +176,10 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without texts in no learnt language or with a posterior under ``least``."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(teaching(docs), settings))
+    models = [docs.sparkSession.sparkContext.broadcast(model) for model in learn(teaching(docs), settings)]
 
     def verdicts(_: list, texts: list[str]) -> list[bool]:
-        names, scores = model.value.predict(texts)
+        names, _, scores = predict([model.value for model in models], texts)
         return [name != UND and score >= least for name, score in zip(names, scores)]
 
     return keep_rows(docs, verdicts)

@@ -113,3 +113,29 @@ def test_naive_bayes_against_plain_sums():
 
 def test_equal_first_lines_alone_are_no_chunk():
     assert not ld.is_multi_line(b"one line", 2) and not ld.is_multi_line(b"one\n \n", 2) and ld.is_multi_line(b"a\nb", 2)
+
+
+def test_long_texts_outweigh_the_prior():
+    """The decision is that of the full sum plus prior, however small the share of a language."""
+    import numpy as np
+
+    s = li.Settings(buckets=64)
+    weights = np.full((64, 2), -4.0)
+    weights[:, 1] += 0.05
+    model = li.Model(["common", "rare"], weights, np.log([0.999, 0.001]), s)
+    text = "clean words of a rare language " * 40
+    (name,), (score,) = model.predict([text])
+    assert name == "rare" and 0.5 < score < 1
+    assert model.predict(["short"])[0] == ["common"]
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than a matrix holds give the same as one matrix for all."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(chr(0x430 + 5 * (k % 5) + rng.randrange(5)) * 2 for _ in range(30)), f"l{k % 5}") for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda r: r.doc_id
+    split, whole = (sorted(li.identify(frame, li.Settings(languages=n)).collect(), key=key) for n in (2, 200))
+    assert split == whole
+    assert [r.lang_pred for r in split] == [lang for _, _, lang in rows]
+    assert li.keep_identified(frame, settings=li.Settings(languages=2)).count() == len(rows)
