@@ -1,34 +1,40 @@
 """Similarity join of documents on word n-grams, by vertical partitioning.
 
 A document is its set of distinct five-word shingles (64-bit hashes; fewer words:
-the whole sequence as one). All shingles have one global order: by the number of
-documents that hold them, rare ones first, then by hash.
-
-1. One pass shingles the texts and deals each set's shingles to fragments of the
-   hash space. A fragment's task counts in how many sets each of its shingles
-   occurs, and returns to every set the number of its own shingles and those
-   that others have too, with their counts. Equal sets (by a 128-bit key) form a
-   class at once; within a task only one of a class goes on.
-2. Each set now knows its order, and takes its prefix, the n - ceil(t n) + 1 first
-   shingles: two sets of similarity t share one there. Only prefix shingles that
-   another set has too go on, dealt by shingle; so a document with a fifth of its
-   shingles to itself costs nothing more.
-3. First links: each document is compared with the one that leads a shared
-   shingle and with its predecessor there, and only with those two that share
-   most of its prefix. True links give first components.
+the whole sequence as one). All shingles have one global order: by the octave of
+the number of sets that hold them, rare ones first, then by hash; shingles that
+only one set holds come before all others.
+
+1. One pass shingles the texts and deals the shingles to counting tasks by ranges
+   of their hash, one range a task, as sparse pieces (a token and the number of its
+   document). A task counts in how many sets each of its shingles occurs and
+   returns those that others have too, with their octave. Equal sets (by a 128-bit
+   key) form a class at once; within a task only one of a class goes on.
+2. Each set now knows its order. The order is cut into ``Settings.fragments``
+   vertical fragments, and the set into one segment for each. The prefix of a set
+   is its n - ceil(t n) + 1 first shingles: two sets of similarity t share one
+   there. Only prefix shingles that another set has too go on, dealt by shingle; so
+   a document with a fifth of its shingles to itself costs nothing more.
+3. First links: each document is paired with the one that leads a shared shingle
+   and with its predecessor there, and only with those two that share most of its
+   prefix. True links give first components.
 4. Closing: wherever documents of different components share a prefix shingle and
-   bounds on sizes, places and shared shingles allow a link, they are compared.
+   bounds on sizes, places and shared shingles allow a link, they are paired.
    Documents already known to be connected are not paired again, so a group of n
    near copies costs about n pairs, not n squared, and no link between components
    is missed.
 
-A full comparison counts the overlap of the two sets by fragments of the order
-and sums. Texts travel to it, not sets (which are larger).
+The overlap of a pair is counted fragment by fragment: a pair meets the two
+segments of one fragment in that fragment's task, keyed by (document, fragment),
+which counts their common shingles; an aggregate by pair sums the partial counts,
+and the sum decides. Nothing else compares two documents, and no task sees a whole
+set. The number of fragments spreads the work and never changes the result.
 
 The few shingles that occur in a thousandth of all documents or more, found in a
-sample (``Settings.sample``), are left out of the counting, so that no fragment
-has a row from every document; they are the last in the order. The order decides
-the cost, never the result.
+sample (``Settings.sample``), are left out of the counting and are the last in the
+order; their runs are split by hash of the document. In closing, every run of many
+documents is split into blocks by size and hash, and only the documents outside its
+main component visit the blocks. The order decides the cost, never the result.
 
 Defined cases: a null text, or one without words, is the empty set and linked
 with nothing; rows of one id are one document, linked if any of their texts are;
@@ -38,6 +44,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,12 +56,21 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, slices, to_batch
 from tarnflow.llm.components import connected_components
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, materialize
 
 #: Distinct words (and classes) that a worker remembers; then it starts anew.
 CACHE = 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
+#: Bits of a shingle within its range; the number of the range stands above them.
+LOW = 40
+#: Set in the number of a very frequent shingle; the part of its run stands above it.
+HOT, PART = 1 << 62, 24
+#: The octave of very frequent shingles: the last.
+LAST_OCTAVE = 63
+#: Documents that one batch numbers at most.
+BATCH_ROWS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -69,15 +85,15 @@ class Settings:
     #: Such shingles at most, the most frequent; all others are counted exactly.
     frequent: int = 1 << 18
     #: Shingles that one task counts, about.
-    fragment_size: int = 3_000_000
-    least_fragments: int = 8
-    #: Parts of the hash space in which a full comparison counts.
+    range_size: int = 3_000_000
+    least_ranges: int = 8
+    #: Characters of the texts that one batch of pieces holds, about.
+    batch_chars: int = 4_000_000
+    #: Vertical fragments of the global order.
     fragments: int = 8
-    bitmap_power: int = 24
-
-    def least_overlap(self, a, b):
-        """The smallest overlap of sets of sizes a and b that links them."""
-        return -(-self.percent * (a + b) // (100 + self.percent))
+    #: Documents of one part of a frequent shingle's run, and of one block of any run.
+    part: int = 1024
+    block: int = 4096
 
     def prefix(self, n):
         return n - -(-self.percent * n // 100) + 1
@@ -123,9 +139,9 @@ def key_of(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Hashes of the shingles that very many documents share, rarest first; at most
-    ``s.frequent`` of them."""
+def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that very many documents share, rarest first, at most
+    ``s.frequent`` of them; and in how many parts (a power of two) the run of each is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,26 +155,26 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> np.ndarray:
     least = max(s.frequent_least, int(s.frequent_share * sample.select("doc_id").count()))
     counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     counts = most_frequent(counted, "n", s.frequent)[0].toPandas().sort_values(["n", "h"])
-    return counts["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    share = counts["n"].to_numpy(dtype=np.float64) * s.sample / s.part
+    return counts["h"].to_numpy(dtype=np.int64).view(np.uint64), (1 << np.ceil(np.log2(np.maximum(share, 1))).astype(np.int64))
 
 
-SEGMENTS = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, sizes binary, tokens binary"
-GRADED = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, alone binary, sizes binary, shared binary"
+PIECES = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, owners binary, low binary, high binary"
+COUNTED = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, owners binary, low binary, high binary, octaves binary"
 
 
-def segments(docs: DataFrame, s: Settings, count: int) -> DataFrame:
-    """The sets of some neighbouring documents, a batch, cut into ``count`` fragments.
+def pieces(docs: DataFrame, order: np.ndarray, s: Settings, count: int) -> DataFrame:
+    """The sets of some neighbouring documents, a batch, cut by ``count`` ranges of the hash.
 
     A row with a ``place`` stands for one document: size and key of its set, the
     first row of its class in the same task (``rep``), and the numbers of its very
     frequent shingles (null if another row stands for the class, or the set is
-    empty). A row without stands for a fragment ``r`` of the batch: the lower 32
-    bits of the shingles, document by document, and how many each document has.
+    empty). A row without stands for a range ``r``: the lower ``LOW`` bits of the
+    shingles (``low``, ``high``), and the place of the document that has each.
     """
-    order = frequent_shingles(docs, s)
     by_hash = np.argsort(order)
     known = docs.sparkSession.sparkContext.broadcast((order[by_hash], by_hash.astype(np.uint32)))
-    kinds = arrow_schema(docs.sparkSession, SEGMENTS)
+    kinds = arrow_schema(docs.sparkSession, PIECES)
 
     def cut(ids: list, texts: list[str], seen: dict) -> pa.RecordBatch:
         frequent, number = known.value
@@ -178,27 +194,75 @@ def segments(docs: DataFrame, s: Settings, count: int) -> DataFrame:
                         often = frequent[at] == found
                         hot, found = np.sort(number[at[often]]).tobytes(), found[~often]
             sets.append(found[:0] if hot is None else found)
-            rows.append((len(rows), doc_id, n, k1, k2, rep, hot, None, None))
+            rows.append((len(rows), doc_id, n, k1, k2, rep, hot, None, None, None))
         batch = xxhash.xxh3_64_intdigest(repr(rows)) - (1 << 63)
         rows = [(batch, batch % count, *row) for row in rows]
         sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         r = ((flat >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        tokens = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)[np.argsort(r, kind="stable")]
-        held = np.bincount(r * len(sets) + owner, minlength=count * len(sets)).reshape(count, len(sets)).astype(np.uint32)
-        ends = np.cumsum(held.sum(axis=1, dtype=np.int64))
-        for k in np.flatnonzero(held.any(axis=1)).tolist():
-            low = int(ends[k - 1]) if k else 0
-            rows.append((batch, k, None, None, None, None, None, None, None, held[k].tobytes(), tokens[low : int(ends[k])].tobytes()))
+        by_range = np.argsort(r, kind="stable")
+        flat, owner = flat[by_range], owner[by_range]
+        low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint8)
+        ends = np.cumsum(np.bincount(r, minlength=count)).tolist()
+        for k, (start, end) in enumerate(zip([0, *ends], ends)):
+            if start < end:
+                rows.append((batch, k, *[None] * 7, owner[start:end].tobytes(), low[start:end].tobytes(), high[start:end].tobytes()))
         return to_batch(dict(zip(kinds.names, map(list, zip(*rows)))), kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for batch in batches:
-            for ids, texts in parts(batch):
-                yield cut(ids, texts, seen)
+            for ids, texts in parts(batch, s.batch_chars):
+                for at in range(0, len(ids), BATCH_ROWS):
+                    yield cut(ids[at : at + BATCH_ROWS], texts[at : at + BATCH_ROWS], seen)
+
+    return id_and_text(docs).mapInArrow(run, PIECES)
+
+
+def joined(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
-    return id_and_text(docs).mapInArrow(run, SEGMENTS)
+
+def counted(docs: DataFrame, order: np.ndarray, s: Settings, count: int) -> DataFrame:
+    """The pieces with the shingles only that two sets or more have, and the octave of
+    their number: 1 for two sets, 2 for up to four, 3 for up to eight."""
+    kinds = arrow_schema(docs.sparkSession, COUNTED)
+    names = PIECES_NAMES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of one range."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            whole = batch.column("place").is_valid()
+            heads = batch.filter(whole)
+            if heads.num_rows:
+                yield pa.RecordBatch.from_arrays([*heads.columns, pa.nulls(heads.num_rows, pa.binary())], schema=kinds)
+            held.append(batch.filter(pa.compute.invert(whole)).select(["batch", "r", "owners", "low", "high"]))
+        rows = pa.Table.from_batches(held) if held else None
+        if not rows or not rows.num_rows:
+            return
+        sizes = np.array([len(x) for x in rows.column("high").to_pylist()])
+        code = joined(rows.column("high"), np.uint8).astype(np.uint64) << np.uint64(32) | joined(rows.column("low"), np.uint32)
+        order = np.argsort(code)
+        ranked = code[order]
+        start = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        number = np.diff(np.r_[start, len(ranked)])
+        octave = np.empty(len(code), dtype=np.uint8)
+        octave[order] = np.repeat(np.ceil(np.log2(number)).astype(np.uint8), number)
+        del order, ranked
+        many = octave > 0
+        code, octave, owner = code[many], octave[many], joined(rows.column("owners"), np.uint16)[many]
+        ends = np.r_[0, np.cumsum(many)][np.cumsum(sizes)]
+        low, high = code.astype(np.uint32), (code >> np.uint64(32)).astype(np.uint8)
+        bounds = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))
+        out = {c: rows.column(c).to_pylist() for c in ("batch", "r")} | dict.fromkeys(names[2:9], [None] * rows.num_rows)
+        out |= {c: [x[a:b].tobytes() for a, b in bounds] for c, x in (("owners", owner), ("low", low), ("high", high), ("octaves", octave))}
+        yield to_batch(out, kinds).filter(pa.array(np.diff(np.r_[0, ends]) > 0))
+
+    return pieces(docs, order, s, count).repartitionById(count, F.col("r")).mapInArrow(run, COUNTED)
+
+
+PIECES_NAMES = [field.split()[0] for field in PIECES.split(", ")]
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -218,146 +282,128 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def joined(blobs: list[bytes], kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=kind)
+def fragment_of(octave: np.ndarray, code: np.ndarray, count: int, fragments: int) -> np.ndarray:
+    """The vertical fragment of each shingle: an octave takes half of what the one
+    before it left of the order, and its hashes go on from there in order."""
+    before = 1 - np.exp2(1.0 - octave)
+    return np.minimum((fragments * (before + np.exp2(-1.0 * octave) * (code / float(count << LOW)))).astype(np.int64), fragments - 1)
+
 
+#: Rows of a document (0), of a prefix shingle (1) and of a segment (2).
+SETS = "kind int, x long, n long, v long, k2 long, rep long, run long, h long, p int, s int, f int, tokens binary"
 
-def cut_up(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """The data's bytes in pieces of so many rows."""
-    ends = np.cumsum(sizes)
-    return [data[high - size : high].tobytes() for high, size in zip(ends.tolist(), sizes.tolist())]
 
+def split_sets(docs: DataFrame, s: Settings) -> DataFrame:
+    """All documents, prefix shingles and segments, from all rows of a batch at a time.
 
-def graded(docs: DataFrame, s: Settings) -> DataFrame:
-    """The segments with, instead of the shingles, for each document the number
-    ``alone`` of those that no other set has, and ``shared``, the others with their
-    counts (``sizes`` of them)."""
+    ``kind`` 0: a document ``x`` with size ``n`` and key ``v, k2`` of its set and the
+    first row ``rep`` of its class in the same task. 1: a prefix shingle ``h`` that
+    another set has too, at place ``p`` of the order of a set of ``n``, with the
+    number ``s`` of such shingles of the set and the ``run`` in which to look for
+    the others. 2: the shingles (``tokens``) of a set in fragment ``f`` that other
+    sets have too; only of sets with rows of kind 1. A set is known by ``x, v``.
+    """
     letters = id_and_text(docs).agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
-    count = max(s.least_fragments, -(-letters // (6 * s.fragment_size)))
-    kinds = arrow_schema(docs.sparkSession, GRADED)
-
-    def grade(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """All rows of one fragment."""
-        is_piece = rows.column("place").is_null()
-        docs_of = rows.filter(rows.column("place").is_valid())
-        for batch in docs_of.to_batches():
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds.names[:9]), none, none, none], schema=kinds)
-        pieces = rows.filter(is_piece)
-        if not pieces.num_rows:
+    count = max(s.least_ranges, -(-letters // (6 * s.range_size)))
+    order, cuts = frequent_shingles(docs, s)
+    cut = docs.sparkSession.sparkContext.broadcast(cuts)
+    kinds = arrow_schema(docs.sparkSession, SETS)
+
+    def table(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kinds], schema=kinds)
+
+    def of_batch(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        heads = rows.filter(rows.column("place").is_valid()).select(["place", "doc_id", "n", "k1", "k2", "rep", "hot"])
+        listed = [heads.column(c).to_pylist() for c in ("doc_id", "n", "k1", "k2", "rep")]
+        yield table(heads.num_rows, kind=[0] * heads.num_rows, **dict(zip(("x", "n", "v", "k2", "rep"), listed)))
+        # a batch that was read twice (the same rows in two tasks) counts once
+        docs_of = {row["place"]: row for row in heads.to_pylist()}
+        docs_of = [docs_of[k] for k in sorted(docs_of)]
+        every = rows.filter(rows.column("place").is_null()).select(["r", "owners", "low", "high", "octaves"])
+        every = list({row["r"]: row for row in every.to_pylist()}.values())
+
+        def column(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(row[name] for row in every), dtype=kind)
+
+        r = np.repeat(np.array([row["r"] for row in every], dtype=np.int64), [len(row["high"]) for row in every])
+        code = r << LOW | column("high", np.uint8).astype(np.int64) << 32 | column("low", np.uint32)
+        owner, octave = column("owners", np.uint16).astype(np.int64), column("octaves", np.uint8)
+        hot = [np.frombuffer(row["hot"] or b"", dtype=np.uint32) for row in docs_of]
+        n = np.array([row["n"] for row in docs_of], dtype=np.int64)
+        shared = np.bincount(owner, minlength=len(docs_of))
+        alone = n - shared - np.fromiter(map(len, hot), dtype=np.int64, count=len(hot))
+        need = np.where([row["hot"] is not None for row in docs_of], s.prefix(n) - alone, 0)
+        mine = need[owner] > 0
+        hot = [x if k > 0 else x[:0] for x, k in zip(hot, need)]
+        often = np.repeat(np.arange(len(hot)), list(map(len, hot)))
+        owner, code = np.r_[owner[mine], often], np.r_[code[mine], HOT + np.concatenate([np.empty(0, np.int64), *hot]).astype(np.int64)]
+        octave = np.r_[octave[mine], np.full(len(often), LAST_OCTAVE, np.uint8)]
+        order = np.lexsort((code, owner << 6 | octave))
+        owner, code, octave = owner[order], code[order], octave[order]
+        place = np.arange(len(code)) - np.searchsorted(owner, owner)
+        kept = place < need[owner]
+        at, h = owner[kept], code[kept]
+        if not len(h):
             return
-        blobs, held = pieces.column("tokens").to_pylist(), pieces.column("sizes").to_pylist()
-        lengths, documents = np.array([len(b) // 4 for b in blobs]), np.array([len(b) // 4 for b in held])
-        flat, sizes = joined(blobs), joined(held).astype(np.int64)
-        del blobs, held
-        order = np.argsort(flat, kind="stable")
-        start = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        number = np.diff(np.r_[start, len(flat)])
-        df = np.empty(len(flat), dtype=np.uint32)
-        df[order] = np.repeat(number, number)
-        del order
-        many = df > 1
-        before = np.r_[0, np.cumsum(many)]
-        bounds = np.r_[0, np.cumsum(sizes)]
-        others = np.diff(before[bounds])
-        pairs = np.stack([flat[many], df[many]], axis=1)
-        ends = np.r_[0, np.cumsum(lengths)]
-        out = {c: pieces.column(c).to_pylist() for c in ("batch", "r")} | {c: [None] * pieces.num_rows for c in kinds.names[2:9]}
-        out |= {"alone": cut_up((sizes - others).astype(np.uint32), documents), "sizes": cut_up(others.astype(np.uint32), documents), "shared": cut_up(pairs, np.diff(before[ends]))}
-        yield to_batch(out, kinds)
+        x, v = (np.array([row[c] or 0 for row in docs_of], dtype=np.int64) for c in ("doc_id", "k1"))
+        run = h.copy()
+        is_hot = h >= HOT
+        run[is_hot] += (mix(x[at[is_hot]].view(np.uint64)).astype(np.int64) & (cut.value[h[is_hot] - HOT] - 1) & 0x3FFFFFFF) << PART
+        yield table(len(h), kind=np.ones(len(h), np.int32), x=x[at], n=n[at], v=v[at], run=run, h=h, p=(place[kept] + alone[at]).astype(np.int32), s=np.bincount(at, minlength=len(n))[at].astype(np.int32))
+        fragment = fragment_of(octave, np.where(code >= HOT, 0, code), count, s.fragments)
+        start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])])
+        end = np.r_[start[1:], len(code)]
+        yield table(len(start), kind=np.full(len(start), 2, np.int32), x=x[owner[start]], v=v[owner[start]], f=fragment[start].astype(np.int32), tokens=[code[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, "r"):
-            yield from grade(rows)
+        for rows in runs_of(batches, "batch"):
+            yield from of_batch(rows)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments(docs, s, count).repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, GRADED)
-
+    return counted(docs, order, s, count).repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(run, SETS)
 
-#: Set in the number of a very frequent shingle's entry.
-HOT = 1 << 61
 
+SHARED = "h long, p long, n long, s long, x long, v long, lead long, lead_v long, lead_n long, prev long, prev_v long, prev_n long"
 
-def entries(known: DataFrame, s: Settings) -> DataFrame:
-    """``h, p, n, x``: each prefix shingle that another set has too, with its place in
-    the set's order, the set's size and the id, from all rows of a batch at a time."""
-    schema = "h long, p int, n int, x long"
-    kinds = arrow_schema(known.sparkSession, schema)
 
-    def prefixes(rows: pa.Table) -> pa.RecordBatch:
-        # a batch that was read twice (the same rows in two tasks) counts once
-        heads = {row["place"]: row for row in rows.filter(rows.column("place").is_valid()).select(["place", "doc_id", "n", "hot"]).to_pylist()}
-        pieces = {row["r"]: row for row in rows.filter(rows.column("place").is_null()).select(["r", "alone", "sizes", "shared"]).to_pylist()}
-        heads = [heads[k] for k in sorted(heads)]
-        n = np.array([row["n"] for row in heads], dtype=np.int64)
-        alone = np.zeros(len(heads), dtype=np.int64)
-        for row in pieces.values():
-            alone += np.frombuffer(row["alone"], dtype=np.uint32)
-        need = np.where([row["hot"] is not None for row in heads], s.prefix(n) - alone, 0)
-        hot = [np.frombuffer(row["hot"], dtype=np.uint32) if k > 0 else np.empty(0, dtype=np.uint32) for row, k in zip(heads, need)]
-        whose = [np.repeat(np.arange(len(heads)), list(map(len, hot)))]
-        h, df = [np.concatenate(hot).astype(np.int64) + HOT], [np.full(len(whose[0]), 1 << 32, dtype=np.int64)]
-        for r, row in pieces.items():
-            owner = np.repeat(np.arange(len(heads)), np.frombuffer(row["sizes"], dtype=np.uint32))
-            mine = need[owner] > 0
-            pairs = np.frombuffer(row["shared"], dtype=np.uint32).reshape(-1, 2)[mine].astype(np.int64)
-            whose.append(owner[mine])
-            h.append((r << 32) | pairs[:, 0])
-            df.append(pairs[:, 1])
-        whose, h, df = map(np.concatenate, (whose, h, df))
-        order = np.lexsort((h, df, whose))
-        whose, h = whose[order], h[order]
-        place = np.arange(len(h)) - np.searchsorted(whose, whose)
-        kept = place < need[whose]
-        whose, place = whose[kept], place[kept]
-        ids = np.array([row["doc_id"] or 0 for row in heads], dtype=np.int64)
-        return to_batch({"h": h[kept], "p": (place + alone[whose]).astype(np.int32), "n": n[whose].astype(np.int32), "x": ids[whose]}, kinds)
+def with_leaders(rows: DataFrame) -> DataFrame:
+    """The rows ``run, h, p, n, s, x, v`` whose run has others, each with the first row
+    of its run (``lead``) and the one before it (``prev``); rows of very frequent
+    shingles in any case.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, "batch"):
-            yield prefixes(rows)
-
-    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = known.select("batch", "r", "place", "doc_id", "n", "hot", "alone", "sizes", "shared")
-    return rows.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(run, schema)
-
-
-def shared_entries(known: DataFrame, s: Settings) -> DataFrame:
-    """The entries whose shingle two documents have, each with the first entry of
-    its shingle (``lead, lead_n``) and the one before it (``prev, prev_n``).
-
-    Rows arrive sorted by shingle; one of them is remembered at a time.
+    Rows arrive sorted by run; one of them is remembered at a time.
     """
-    schema = "h long, p int, n int, x long, lead long, lead_n int, prev long, prev_n int"
-    kinds = arrow_schema(known.sparkSession, schema)
+    kinds = arrow_schema(rows.sparkSession, SHARED)
+    inputs = ["run", "h", "p", "n", "s", "x", "v"]
+    same_set = [5, 6, 3]  # x, v, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: (columns, has one before it)
+        last = lead_of_last = prev_of_last = None
+        continued = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, p, n, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "p", "n", "x"))
-            if held:
-                h, p, n, x = (np.r_[old, new] for old, new in zip(held[0], (h, p, n, x)))
-            same = h[1:] == h[:-1]
-            before = np.r_[held is not None and held[1], same]
-            start = np.maximum.accumulate(np.where(before, 0, np.arange(len(h))))
-            lead, lead_n = x[start], n[start]
-            at = np.maximum(np.arange(len(h)) - 1, 0)
-            prev, prev_n = np.where(before, x[at], x), np.where(before, n[at], n)
-            if held and held[1]:
-                lead[start == 0], lead_n[start == 0] = held[0][4], held[0][5]
-                prev[0], prev_n[0] = held[0][6], held[0][7]
-            rows = (h, p, n, x, lead, lead_n, prev, prev_n)
-            many = (before | np.r_[same, False])[:-1]
+            t = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in inputs])
+            if last is not None:
+                t = np.concatenate([last[:, None], t], axis=1)
+            same = t[0, 1:] == t[0, :-1]
+            before = np.r_[continued, same]
+            places = np.arange(t.shape[1])
+            start = np.maximum.accumulate(np.where(before, 0, places))
+            lead = t[same_set][:, start]
+            prev = t[same_set][:, np.where(before, np.maximum(places - 1, 0), places)]
+            if continued:
+                lead[:, start == 0] = lead_of_last[:, None]
+                prev[:, 0] = prev_of_last
+            many = (before | np.r_[same, False] | (t[1] >= HOT))[:-1]
             if many.any():
-                yield to_batch(dict(zip(kinds.names, (c[:-1][many] for c in rows))), kinds)
-            held = tuple(c[-1] for c in rows), bool(before[-1])
-        if held and held[1]:
-            yield to_batch(dict(zip(kinds.names, ([c] for c in held[0]))), kinds)
+                yield to_batch(dict(zip(kinds.names, [c[:-1][many] for c in (*t[1:], *lead, *prev)])), kinds)
+            last, lead_of_last, prev_of_last, continued = t[:, -1], lead[:, -1], prev[:, -1], bool(before[-1])
+        if last is not None and (continued or last[1] >= HOT):
+            yield to_batch(dict(zip(kinds.names, ([c] for c in (*last[1:], *lead_of_last, *prev_of_last)))), kinds)
 
-    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries(known, s).repartition(n, "h").sortWithinPartitions("h", "p", "n", "x").mapInArrow(run, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*inputs).repartition(n, "run").sortWithinPartitions("run", "p", "n", "x", "v").mapInArrow(run, SHARED)
 
 
 def similar_size(a: str, b: str, s: Settings):
@@ -372,174 +418,192 @@ def needed(a: str, b: str, s: Settings):
     return F.expr(f"greatest(1, {least} - ({rest}))")
 
 
+#: Pairs of sets of two documents: ids, keys and sizes.
+PAIR = ["a", "va", "na", "b", "vb", "nb"]
+
+
 def first_pairs(shared: DataFrame, s: Settings) -> DataFrame:
-    """``a, b``: for each document b the two leaders or predecessors that share
-    most of its prefix, if that is much enough."""
-    pair = F.array(F.struct(F.col("lead").alias("a"), F.col("lead_n").alias("na")), F.struct(F.col("prev").alias("a"), F.col("prev_n").alias("na")))
-    both = shared.select(F.col("x").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct(pair)).alias("to")).select("to.a", "to.na", "b", "nb")
-    counted = both.filter("a <> b").filter(similar_size("na", "nb", s)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    good = counted.filter(F.col("c") * 2 >= needed("na", "nb", s))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))
-    return good.withColumn("best", best).filter("best <= 2").select("a", "b")
+    """For each set of a document b the two leaders or predecessors that share most of
+    its prefix, if that is much enough."""
+    heads = shared.filter((F.col("h") >= HOT) & (F.col("lead") == F.col("x")) & (F.col("lead_v") == F.col("v")))
+    linked = shared.union(with_leaders(heads.withColumn("run", F.col("h"))))
+    pair = F.array(*(F.struct(F.col(c).alias("a"), F.col(f"{c}_v").alias("va"), F.col(f"{c}_n").alias("na")) for c in ("lead", "prev")))
+    both = linked.select(F.col("x").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"), F.explode(F.array_distinct(pair)).alias("to")).select("to.*", "b", "vb", "nb")
+    shares = both.filter("a <> b").filter(similar_size("na", "nb", s)).groupBy(*PAIR).agg(F.count("*").alias("c"))
+    good = shares.filter(F.col("c") * 2 >= needed("na", "nb", s))
+    best = F.row_number().over(Window.partitionBy("b", "vb").orderBy(F.desc("c"), "a", "va"))
+    return good.withColumn("best", best).filter("best <= 2").select(*PAIR)
 
 
 def closing_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """``a, b`` in different components that may be linked, by their common prefix
+    """Pairs of sets in different components that may be linked, by their common prefix
     shingles.
 
-    In each shingle's run the rows of other components than its first row's come
-    first and are remembered; rows of that component pass by. A linked pair meets
-    three bounds at its first common shingle, and no other pairs leave the task:
-    sizes are similar; at most as many shingles stand before it in either set as
-    the two may differ by; and either prefix shares as many shingles with any
-    documents as the two must share.
+    Of each shingle's run the component of most rows is the main one. Every pair
+    that counts has a row outside it, a visitor. A run of more than ``s.block`` rows
+    is cut into blocks by octaves of size, so that similar sets are in the same or
+    in neighbouring ones, and by a hash of the document; every row rests in one
+    block, visitors visit all of theirs. A task remembers the rows that rest in one
+    block and lets the visitors pass by. A linked pair meets three bounds at its
+    first common shingle, and no other pairs leave the task: sizes are similar; at
+    most as many shingles stand before it in either set as the two may differ by;
+    and either prefix shares as many shingles with any documents as the two must.
     """
-    schema = "a long, b long"
-    kinds = arrow_schema(shared.sparkSession, schema)
-    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = shared.sparkSession
+    kinds = arrow_schema(spark, ", ".join(f"{c} long" for c in PAIR))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a pair has its first common shingle at a place of at most n - (least overlap)
-    early = shared.select("h", "p", "n", "x").filter(F.expr(f"p <= n - cast(ceil({s.percent} * n / 100.0D) as int)"))
-    own = shared.groupBy("x").agg(F.count("*").cast("int").alias("s"))
-    labelled = early.join(own, "x").join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    run_of = Window.partitionBy("h").orderBy("p", "n", "x")
-    marked = labelled.repartition(n, "h").withColumn("other", F.col("component") != F.first("component").over(run_of))
-    rows = marked.select("h", "n", "p", "s", "x", "component", "other").sortWithinPartitions("h", F.desc("other"), "n", "x")
-    block = 1 << 20
+    early = shared.select("h", "p", "n", "s", "x", "v").filter(F.expr(f"p <= n - cast(ceil({s.percent} * n / 100.0D) as int)"))
+    known = early.join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    labelled = materialize(known, "labelled")
+    groups = labelled.groupBy("h", "component").agg(F.count("*").alias("c"))
+    runs = groups.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("components")).filter("components > 1").drop("components")
+    runs = materialize(runs, "runs")
+    # of very frequent shingles there are at most ``s.frequent``
+    rows = labelled.filter(F.col("h") < HOT).join(runs, "h").unionByName(labelled.filter(F.col("h") >= HOT).join(F.broadcast(runs.filter(F.col("h") >= HOT)), "h"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * -math.log(s.percent / 100))).cast("int")
+    parts_of = F.ceil(F.col("rows") / s.block).cast("int")
+    rows = rows.withColumn("parts", parts_of).withColumn("size", F.when(F.col("parts") > 1, size).otherwise(0)).withColumn("other", F.col("component") != F.col("main"))
+    rests = rows.select("h", "size", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("block"), F.lit(0).alias("visits"), "n", "p", "s", "x", "v", "component")
+    near = F.when(F.col("parts") > 1, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))
+    visits = rows.filter("other").withColumn("size", F.explode(near)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = rests.union(visits.select("h", "size", "block", F.lit(1), "n", "p", "s", "x", "v", "component"))
+    met = met.repartition(n, "h", "size", "block").sortWithinPartitions("h", "size", "block", "visits", "n", "x", "v")
 
     def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs of rows ``n, p, s, x, component`` pass the bounds."""
+        """Which pairs of rows ``n, p, s, ...`` pass the bounds."""
         na, nb = a[:, 0], b[:, 0]
         least = -(-s.percent * (na + nb) // (100 + s.percent))
         rest = -(-s.percent * np.maximum(na, nb) // 100) - 1
         return (a[:, 1] <= na - least) & (b[:, 1] <= nb - least) & (np.minimum(a[:, 2], b[:, 2]) >= least - rest)
 
+    def once(found: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate(found), axis=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        size, shingle = 0, None
-        kept = np.empty((0, 5), dtype=np.int64)
+        pending, key = 0, None
+        held: list[np.ndarray] = []  # the rows that rest in this block
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "p", "s", "x", "component")], axis=1)
-            other = batch.column("other").to_numpy(zero_copy_only=False)
-            edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "size", "block", "visits")], axis=1)
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "p", "s", "x", "v", "component")], axis=1)
+            edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
             for low, high in zip(edges[:-1], edges[1:]):
-                if h[low] != shingle:
-                    shingle, kept = h[low], np.empty((0, 5), dtype=np.int64)
-                if not other[low] and not len(kept):
+                if key is None or (keys[low, :3] != key).any():
+                    key, held = keys[low, :3], []
+                if not keys[low, 3]:
+                    held.append(table[low:high])
                     continue
-                at = low
-                while at < high:
-                    rows = table[at : min(high, at + max(1, block // (len(kept) + high - low)))]
-                    mine = rows[other[at : at + len(rows)]]
-                    kept = np.concatenate([kept, mine])
-                    # rows of the block against all remembered so far, itself included
-                    i, j = np.nonzero((kept[:, 4][:, None] != rows[:, 4][None, :]) & (100 * np.minimum(kept[:, :1], rows[:, 0]) >= s.percent * np.maximum(kept[:, :1], rows[:, 0])))
-                    inside = i - (len(kept) - len(mine))
-                    once = ((inside < 0) | (inside < j)) & may_link(kept[i], rows[j])
-                    x, y = kept[i[once], 3], rows[j[once], 3]
+                if not held:
+                    continue
+                held = [np.concatenate(held)] if len(held) > 1 else held
+                kept = held[0]
+                step = max(1, (1 << 20) // len(kept))
+                for at in range(low, high, step):
+                    rows = table[at : min(high, at + step)]
+                    i, j = np.nonzero((kept[:, 5][:, None] != rows[:, 5][None, :]) & (100 * np.minimum(kept[:, :1], rows[:, 0]) >= s.percent * np.maximum(kept[:, :1], rows[:, 0])))
+                    good = may_link(kept[i], rows[j])
+                    x, y = kept[i[good]][:, [3, 4, 0]], rows[j[good]][:, [3, 4, 0]]
                     if len(x):
-                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-                        size += len(x)
-                        if size > 2_000_000:
-                            found = [np.unique(np.concatenate(found), axis=0)]
-                            size = len(found[0])
-                            if size > 1_000_000:
+                        found.append(np.where((x[:, :1] < y[:, :1]), np.concatenate([x, y], axis=1), np.concatenate([y, x], axis=1)))
+                        pending += len(x)
+                        if pending > 500_000:
+                            found = [once(found)]
+                            pending = len(found[0])
+                            if pending > 250_000:
                                 yield to_batch(dict(zip(kinds.names, found[0].T)), kinds)
-                                found, size = [], 0
-                    at += len(rows)
+                                found, pending = [], 0
         if found:
-            yield to_batch(dict(zip(kinds.names, np.unique(np.concatenate(found), axis=0).T)), kinds)
-
-    return rows.mapInArrow(run, schema).distinct()
-
-
-def texts_of(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """``id, text`` of the documents in ``pairs``, and of some others that share
-    their bit in a bitmap of fixed size."""
-    size = 1 << s.bitmap_power
-    place = F.xxhash64("id").bitwiseAND(F.lit(size - 1))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    words = ids.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("low")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, low)")).alias("bits")).toPandas()
-    bits = np.zeros(size // 64, dtype=np.int64)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+            yield to_batch(dict(zip(kinds.names, once(found).T)), kinds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in batches:
-            at = batch.column("place").to_numpy(zero_copy_only=False)
-            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+    return met.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR)).distinct()
 
-    rows = id_and_text(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("place", place)
-    return materialize(rows.mapInArrow(run, "id long, text string"), "texts")
 
+def common(rows: pa.RecordBatch) -> np.ndarray:
+    """The number of tokens that the two segments of each row (at most 1024) have in common."""
+    keys = []
+    for name in ("tokens_a", "tokens_b"):
+        blobs = rows.column(name).to_pylist()
+        token = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+        row = np.repeat(np.arange(len(blobs), dtype=np.uint64), np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 8)
+        # 54 bits of a hash that tells the token, 10 that tell the row
+        keys.append(mix(token * MULTIPLIERS[0]) & ~np.uint64(1023) | row)
+    both = np.sort(np.concatenate(keys))
+    twice = both[1:][both[1:] == both[:-1]]
+    return np.bincount((twice & np.uint64(1023)).astype(np.int64), minlength=rows.num_rows)
 
-def overlaps(a: np.ndarray, b: np.ndarray, fragments: int) -> list[int]:
-    """The overlap of two sets, counted in each fragment of the order of hashes."""
-    common = np.intersect1d(a, b, assume_unique=True)
-    shift = np.uint64(64 - (fragments - 1).bit_length())
-    return np.bincount((common >> shift).astype(np.int64), minlength=fragments).tolist() if fragments > 1 else [len(common)]
 
+def linked_pairs(sets: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """``u, v``: the documents of the ``pairs`` whose whole sets reach the similarity.
 
-def linked_pairs(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The ``pairs`` whose whole sets reach the similarity."""
-    texts = texts_of(docs, pairs, s)
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    schema = "a long, b long, na long, nb long, parts array<long>"
-    kinds = arrow_schema(docs.sparkSession, schema)
+    Every pair goes to the task of each fragment that both have a segment in, which
+    counts what the two segments have in common; the counts are summed by pair.
+    (Segments of one set that two tasks have written are equal, hence the maximum.)
+    """
+    segments = sets.filter("kind = 2").select("x", "v", "f", "tokens")
+    wide = pairs.select(*PAIR, F.explode(F.sequence(F.lit(0), F.lit(s.fragments - 1))).alias("f"))
+    of_a = segments.select(F.col("x").alias("a"), F.col("v").alias("va"), "f", F.col("tokens").alias("tokens_a"))
+    of_b = segments.select(F.col("x").alias("b"), F.col("v").alias("vb"), "f", F.col("tokens").alias("tokens_b"))
+    rows = wide.join(of_a, ["a", "va", "f"]).join(of_b, ["b", "vb", "f"]).select(*PAIR, "f", "tokens_a", "tokens_b")
+    schema = ", ".join(f"{c} long" for c in PAIR) + ", f int, c int"
+    kinds = arrow_schema(sets.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, np.empty(0, dtype=np.uint64)
-        for batch in (piece for whole in batches for piece in slices(whole)):
-            out = []
-            for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if text_a != last:
-                    last, mine = text_a, shingles(text_a, s.words)
-                other = shingles(text_b, s.words)
-                out.append((a, b, len(mine), len(other), overlaps(mine, other, s.fragments)))
-            if out:
-                yield to_batch(dict(zip(kinds.names, map(list, zip(*out)))), kinds)
+        for batch in batches:
+            for piece in slices(batch, 1024):
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).cast(kinds.field(c).type) for c in (*PAIR, "f")), pa.array(common(piece), type=pa.int32())], schema=kinds)
 
-    summed = rows.select("a", "b", "text_a", "text_b").mapInArrow(run, schema).withColumn("overlap", F.aggregate("parts", F.lit(0).cast("long"), lambda x, y: x + y))
-    return summed.filter(f"na > 0 AND nb > 0 AND 100 * overlap >= {s.percent} * (na + nb - overlap)").select("a", "b")
+    partial = rows.mapInArrow(run, schema)
+    summed = partial.groupBy(*PAIR).agg(*(F.max(F.when(F.col("f") == k, F.col("c")).otherwise(0)).cast("long").alias(f"c{k}") for k in range(s.fragments)))
+    overlap = sum((F.col(f"c{k}") for k in range(1, s.fragments)), F.col("c0"))
+    good = summed.withColumn("overlap", overlap).filter(f"100 * overlap >= {s.percent} * (na + nb - overlap)")
+    return good.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def class_edges(known: DataFrame) -> DataFrame:
     """``u, v``: links within classes of equal sets. Rows point at the first of their
     class in the same task; only those, one for each task and class, are shuffled."""
-    near = known.filter("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    reps = known.filter("rep = doc_id").select("n", "k1", "k2", "doc_id")
-    least = reps.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
-    return near.union(reps.join(least, ["n", "k1", "k2"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
+    near = known.filter("rep <> x").select(F.col("x").alias("u"), F.col("rep").alias("v"))
+    reps = known.filter("rep = x").select("n", F.col("v").alias("k1"), "k2", "x")
+    least = reps.groupBy("n", "k1", "k2").agg(F.min("x").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
+    return near.union(reps.join(least, ["n", "k1", "k2"]).filter("x <> v").select(F.col("x").alias("u"), "v"))
 
 
 def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     s = settings
-    rows = materialize(graded(docs, s), "sets")
-    known = rows.filter("place IS NOT NULL")
-    shared = materialize(shared_entries(rows, s), "shared")
-    classes = class_edges(known)
+    sets = materialize(split_sets(docs, s), "sets")
+    known = sets.filter("kind = 0").select("x", "n", "v", "k2", "rep")
+    shared = materialize(with_leaders(sets.filter("kind = 1")), "shared")
     tried = materialize(first_pairs(shared, s), "pairs")
-    edge = [F.col("a").alias("u"), F.col("b").alias("v")]
-    first = materialize(classes.union(linked_pairs(docs, tried, s).select(*edge)), "links")
+    first = materialize(class_edges(known).union(linked_pairs(sets, tried, s)), "links")
     labels = materialize(connected_components(first), "labels")
-    rest = closing_pairs(shared, labels, s).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = linked_pairs(docs, materialize(rest, "pairs"), s).select(*edge)
-    final = connected_components(first.union(more))
-    sizes = known.select("doc_id", F.col("n").alias("n_shingles"))
+    ends = [F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("va")).otherwise(F.col("vb")).alias("va"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("vb")).otherwise(F.col("va")).alias("vb")]
+    rest = materialize(closing_pairs(shared, labels, s).join(tried.select(*ends), ["a", "va", "b", "vb"], "left_anti"), "pairs")
+    final = materialize(connected_components(first.union(linked_pairs(sets, rest.select(*PAIR), s))), "components")
+    for table in (shared, tried, first, labels, rest):
+        discard(table)
+    sizes = known.select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"))
     return sizes.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+    """``docs`` with one row for each component: that of the smallest id.
 
-    Rows of empty sets stay, and so do rows without id; of rows that repeat an
-    id one stays.
+    Of the rows that repeat this id the one of the smallest hash of all columns
+    stays. Rows of empty sets are components of their own, so one row of each such id
+    stays; rows without id link nothing and all stay.
     """
-    found = join_components(docs, settings).filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__jaccard_join_gone")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("__jaccard_join_gone"), "left_anti")
-    return kept.select(*docs.columns)
+    gone, again = "__jaccard_join_gone", "__jaccard_join_again"
+    found = join_components(docs, settings).filter("doc_id IS NOT NULL")
+    found = found.groupBy("doc_id").agg(F.max(F.col("component_id") != F.col("doc_id")).alias("linked"), F.count("*").alias("rows"))
+    found = materialize(found.filter("linked OR rows > 1"), "kept")
+    key = F.col("doc_id").cast("long")
+    single = docs.join(found.select(F.col("doc_id").alias(gone)), key == F.col(gone), "left_anti")
+    repeated = docs.join(found.filter("NOT linked").select(F.col("doc_id").alias(again)), key == F.col(again), "left_semi")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*names)
+    least = repeated.groupBy(key.alias(again)).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return single.select(*names).union(least.select("row.*"))

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from tarnflow.llm import jaccard_join as jj
 from tarnflow.llm.components import connected_components
 
@@ -79,7 +82,7 @@ def run(spark, rows, **settings):
 def test_equals_brute_force(spark):
     for seed in (1, 2, 3):
         rows = corpus(seed)
-        frame, s = run(spark, rows, sample=2, frequent_least=3, least_fragments=5 * seed)
+        frame, s = run(spark, rows, sample=2, frequent_least=3, least_ranges=5 * seed, part=8 * seed, block=6 * seed, fragments=(1, 5, 8)[seed - 1])
         got = sorted((tuple(r) for r in jj.join_components(frame, s).collect()), key=str)
         assert got == brute(rows)
 
@@ -102,10 +105,37 @@ def test_keep_one_each(spark):
     kept = jj.keep_one_each(frame, s)
     assert kept.columns == frame.columns
     label = {a: c for a, _, c in brute(rows)}
-    assert {r.doc_id for r in kept.collect()} == {a for a, c in label.items() if a == c or a is None}
+    expected = [a for a, c in label.items() if a == c] + [a for a, _ in rows if a is None]
+    got = kept.collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(expected, key=str)
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
     assert jj.join_components(frame.limit(0), s).count() == 0
 
 
+def test_keep_one_each_of_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    frame, s = run(spark, [(1, text), (1, text), (2, text), (3, text), (4, "other words"), (4, "than these"), (5, None), (5, None), (None, text), (None, text)])
+    assert sorted((r.doc_id for r in jj.keep_one_each(frame, s).collect()), key=str) == [1, 4, 5, None, None]
+
+
+def test_fragments_cut_one_order():
+    """Fragments are ranges of the order by (octave, hash), and cover all of it."""
+    rng = np.random.default_rng(5)
+    octave = rng.integers(1, 12, 4000)
+    code = rng.integers(0, 7 << jj.LOW, 4000)
+    for fragments in (1, 3, 8, 64):
+        found = jj.fragment_of(octave, code, 7, fragments)
+        assert (np.diff(found[np.lexsort((code, octave))]) >= 0).all()
+        assert found.min() >= 0 and found.max() < fragments
+
+
+def test_common_counts():
+    rng = np.random.default_rng(6)
+    pairs = [(np.unique(rng.integers(0, 60, k)), np.unique(rng.integers(0, 60, 2 * k))) for k in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array([p[k].astype(np.int64).tobytes() for p in pairs]) for k in (0, 1)], names=["tokens_a", "tokens_b"])
+    assert jj.common(rows).tolist() == [len(np.intersect1d(a, b)) for a, b in pairs]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(900, k) for k in range(500, 560)] + [(7, 7), (1, 2), (2, 1)]
