@@ -93,7 +93,9 @@ class Settings:
     fragments: int = 8
     #: Documents of one part of a frequent shingle's run, and of one block of any run.
     part: int = 1024
-    block: int = 4096
+    block: int = 512
+    #: Sets of pairs that are broadcast to find their segments, at most; more are joined.
+    sent: int = 100_000
 
     def prefix(self, n):
         return n - -(-self.percent * n // 100) + 1
@@ -153,8 +155,9 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndar
 
     sample = id_and_text(docs).filter(remainder_column(s.sample) == 1)
     least = max(s.frequent_least, int(s.frequent_share * sample.select("doc_id").count()))
-    counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counts = most_frequent(counted, "n", s.frequent)[0].toPandas().sort_values(["n", "h"])
+    often = materialize(sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
+    counts = most_frequent(often, "n", s.frequent)[0].toPandas().sort_values(["n", "h"])
+    discard(often)
     share = counts["n"].to_numpy(dtype=np.float64) * s.sample / s.part
     return counts["h"].to_numpy(dtype=np.int64).view(np.uint64), (1 << np.ceil(np.log2(np.maximum(share, 1))).astype(np.int64))
 
@@ -289,6 +292,12 @@ def fragment_of(octave: np.ndarray, code: np.ndarray, count: int, fragments: int
     return np.minimum((fragments * (before + np.exp2(-1.0 * octave) * (code / float(count << LOW)))).astype(np.int64), fragments - 1)
 
 
+def packed(code: np.ndarray) -> bytes:
+    """48 bits of a hash of each shingle: the lower 32 of all, then the upper 16."""
+    mixed = mix(code.view(np.uint64) * MULTIPLIERS[0])
+    return mixed.astype(np.uint32).tobytes() + (mixed >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
 #: Rows of a document (0), of a prefix shingle (1) and of a segment (2).
 SETS = "kind int, x long, n long, v long, k2 long, rep long, run long, h long, p int, s int, f int, tokens binary"
 
@@ -353,7 +362,7 @@ def split_sets(docs: DataFrame, s: Settings) -> DataFrame:
         fragment = fragment_of(octave, np.where(code >= HOT, 0, code), count, s.fragments)
         start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])])
         end = np.r_[start[1:], len(code)]
-        yield table(len(start), kind=np.full(len(start), 2, np.int32), x=x[owner[start]], v=v[owner[start]], f=fragment[start].astype(np.int32), tokens=[code[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())])
+        yield table(len(start), kind=np.full(len(start), 2, np.int32), x=x[owner[start]], v=v[owner[start]], f=fragment[start].astype(np.int32), tokens=[packed(code[a:b]) for a, b in zip(start.tolist(), end.tolist())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, "batch"):
@@ -454,20 +463,23 @@ def closing_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a pair has its first common shingle at a place of at most n - (least overlap)
     early = shared.select("h", "p", "n", "s", "x", "v").filter(F.expr(f"p <= n - cast(ceil({s.percent} * n / 100.0D) as int)"))
-    known = early.join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    # labels and runs grow with the corpus, so they are merged at every size
+    known = early.join(labels.select(F.col("id").alias("x"), "component").hint("merge"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     labelled = materialize(known, "labelled")
     groups = labelled.groupBy("h", "component").agg(F.count("*").alias("c"))
-    runs = groups.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("components")).filter("components > 1").drop("components")
-    runs = materialize(runs, "runs")
+    runs = groups.groupBy("h").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("rows"), F.count("*").alias("components"))
+    runs = materialize(runs.filter("components > 1").select("h", F.col("most.component").alias("main"), "rows"), "runs")
     # of very frequent shingles there are at most ``s.frequent``
-    rows = labelled.filter(F.col("h") < HOT).join(runs, "h").unionByName(labelled.filter(F.col("h") >= HOT).join(F.broadcast(runs.filter(F.col("h") >= HOT)), "h"))
+    rows = labelled.filter(F.col("h") < HOT).join(runs.filter(F.col("h") < HOT).hint("merge"), "h").unionByName(labelled.filter(F.col("h") >= HOT).join(F.broadcast(runs.filter(F.col("h") >= HOT)), "h"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * -math.log(s.percent / 100))).cast("int")
-    parts_of = F.ceil(F.col("rows") / s.block).cast("int")
-    rows = rows.withColumn("parts", parts_of).withColumn("size", F.when(F.col("parts") > 1, size).otherwise(0)).withColumn("other", F.col("component") != F.col("main"))
-    rests = rows.select("h", "size", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("block"), F.lit(0).alias("visits"), "n", "p", "s", "x", "v", "component")
+    rows = rows.withColumn("parts", F.ceil(F.col("rows") / s.block).cast("int"))
+    rows = rows.withColumn("size", F.when(F.col("parts") > 1, size).otherwise(0))
+    at = lambda size, block, visits: F.struct(size.cast("int").alias("size"), block.cast("int").alias("block"), F.lit(visits).alias("visits"))
+    rest = F.array(at(F.col("size"), F.pmod(F.xxhash64("x"), F.col("parts")), 0))
     near = F.when(F.col("parts") > 1, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))
-    visits = rows.filter("other").withColumn("size", F.explode(near)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = rests.union(visits.select("h", "size", "block", F.lit(1), "n", "p", "s", "x", "v", "component"))
+    visits = F.flatten(F.transform(near, lambda z: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: at(z, k, 1))))
+    places = F.when(F.col("component") != F.col("main"), F.concat(rest, visits)).otherwise(rest)
+    met = rows.select("h", "n", "p", "s", "x", "v", "component", F.inline(places))
     met = met.repartition(n, "h", "size", "block").sortWithinPartitions("h", "size", "block", "visits", "n", "x", "v")
 
     def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -522,17 +534,17 @@ def closing_pairs(shared: DataFrame, labels: DataFrame, s: Settings) -> DataFram
 
 
 def common(rows: pa.RecordBatch) -> np.ndarray:
-    """The number of tokens that the two segments of each row (at most 1024) have in common."""
+    """The number of tokens that the two segments of each row (at most 65,536) have in common."""
     keys = []
     for name in ("tokens_a", "tokens_b"):
         blobs = rows.column(name).to_pylist()
-        token = np.frombuffer(b"".join(blobs), dtype=np.uint64)
-        row = np.repeat(np.arange(len(blobs), dtype=np.uint64), np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 8)
-        # 54 bits of a hash that tells the token, 10 that tell the row
-        keys.append(mix(token * MULTIPLIERS[0]) & ~np.uint64(1023) | row)
+        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 6
+        low = np.frombuffer(b"".join(b[: 4 * k] for b, k in zip(blobs, sizes.tolist())), dtype=np.uint32).astype(np.uint64)
+        high = np.frombuffer(b"".join(b[4 * k :] for b, k in zip(blobs, sizes.tolist())), dtype=np.uint16).astype(np.uint64)
+        keys.append((high << np.uint64(32) | low) << np.uint64(16) | np.repeat(np.arange(len(blobs), dtype=np.uint64), sizes))
     both = np.sort(np.concatenate(keys))
     twice = both[1:][both[1:] == both[:-1]]
-    return np.bincount((twice & np.uint64(1023)).astype(np.int64), minlength=rows.num_rows)
+    return np.bincount((twice & np.uint64(0xFFFF)).astype(np.int64), minlength=rows.num_rows)
 
 
 def linked_pairs(sets: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
@@ -543,10 +555,13 @@ def linked_pairs(sets: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     (Segments of one set that two tasks have written are equal, hence the maximum.)
     """
     segments = sets.filter("kind = 2").select("x", "v", "f", "tokens")
+    wanted = pairs.select(F.col("a").alias("x"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
+    if wanted.count() <= s.sent:
+        segments = segments.join(F.broadcast(wanted), ["x", "v"], "left_semi")
     wide = pairs.select(*PAIR, F.explode(F.sequence(F.lit(0), F.lit(s.fragments - 1))).alias("f"))
     of_a = segments.select(F.col("x").alias("a"), F.col("v").alias("va"), "f", F.col("tokens").alias("tokens_a"))
     of_b = segments.select(F.col("x").alias("b"), F.col("v").alias("vb"), "f", F.col("tokens").alias("tokens_b"))
-    rows = wide.join(of_a, ["a", "va", "f"]).join(of_b, ["b", "vb", "f"]).select(*PAIR, "f", "tokens_a", "tokens_b")
+    rows = wide.join(of_a.hint("merge"), ["a", "va", "f"]).join(of_b.hint("merge"), ["b", "vb", "f"]).select(*PAIR, "f", "tokens_a", "tokens_b")
     schema = ", ".join(f"{c} long" for c in PAIR) + ", f int, c int"
     kinds = arrow_schema(sets.sparkSession, schema)
 
@@ -583,7 +598,8 @@ def join_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     ends = [F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("va")).otherwise(F.col("vb")).alias("va"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("vb")).otherwise(F.col("va")).alias("vb")]
     rest = materialize(closing_pairs(shared, labels, s).join(tried.select(*ends), ["a", "va", "b", "vb"], "left_anti"), "pairs")
     final = materialize(connected_components(first.union(linked_pairs(sets, rest.select(*PAIR), s))), "components")
-    for table in (shared, tried, first, labels, rest):
+    known = materialize(known, "known")
+    for table in (sets, shared, tried, first, labels, rest):
         discard(table)
     sizes = known.select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"))
     return sizes.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
