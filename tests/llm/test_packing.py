@@ -1,4 +1,5 @@
 import bisect
+import json
 import random
 import zlib
 
@@ -83,10 +84,37 @@ def test_pieces_and_places(spark):
     docs = {k: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 30, 80, 700]))) for k in range(150)}
     docs |= {200: None, 201: "", 202: "a<|endoftext|>b", 203: "z" * 5000, 204: "\n" * 300}
     frame = spark.createDataFrame([(k, v, "clash", 7) for k, v in docs.items()], "doc_id long, text string, salt string, length int")
-    check_rows(packing.pack(frame, PATH, capacity=64, salts=3).collect(), docs, 64)
+    check_rows(packing.pack(frame, PATH, capacity=64, group=20).collect(), docs, 64)
     check_rows(packing.pack(frame, PATH).collect(), docs, 1024)
 
 
+def test_very_long_runs_are_the_librarys(spark):
+    """Five million characters of one kind, and runs about the border to the library."""
+    library = Tokenizer.from_file(PATH)
+    five = 5_000_000
+    texts = [" " * five, "\n" * five, "a " + "\t \n" * 700_000 + "b", "\u2003" * five, "ab" * (five // 2), "1" * five, "!" * five, "\u4e2d" * 1_000_000]
+    texts += [x * n + y for x in (" ", "\n", "\u00a0", "\x1c") for n in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1) for y in ("", "x", " x", "1", "\n")]
+    for text in texts:
+        assert packing.ids_of(PATH, text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_the_order_of_merges():
+    """What makes ids usable as ranks: the k-th merge gives the k-th id after the bytes."""
+    spec = json.load(open(PATH, encoding="utf-8"))
+    vocab = spec["model"]["vocab"]
+    ids = [vocab["".join(pair)] for pair in spec["model"]["merges"]]
+    assert ids == sorted(ids) and len(set(ids)) == len(ids) and min(ids) >= 256
+
+
+def test_code_points_are_the_librarys():
+    """Every 7th block of 64 code points, each among letters, digits, signs and space."""
+    library = Tokenizer.from_file(PATH)
+    for low in range(0, 0x110000, 7 * 64):
+        points = [chr(c) for c in range(low, low + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b {c}1{c}{c} {c}, {c} \n" for c in points)
+        assert packing.ids_of(PATH, text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (None, None)], "doc_id long, text string")
     rows = packing.pack(frame, PATH).collect()
