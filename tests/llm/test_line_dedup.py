@@ -1,30 +1,64 @@
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 from tarnflow.llm import line_dedup as ld
 
 S = ld.Settings()
+ODD, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def plain_chunks(text):
+    """Places of the lines of each chunk, straight from the definition: a chunk ends
+    after two lines or more where the hash of the last two lines is even, and after 16."""
+    lines = [x.encode() for x in text.split("\n")]
+    filled = [k for k, line in enumerate(lines) if line.split()]
+    found, now = [], []
+    for n, k in enumerate(filled):
+        now.append(k)
+        value = xxhash.xxh3_64_intdigest(lines[k])
+        if n:
+            value = (xxhash.xxh3_64_intdigest(lines[filled[n - 1]]) * ODD + value) % 2**64
+        even = (((value ^ value >> 32) * MIX) % 2**64 >> 40) % 2 == 0
+        if len(now) == 16 or (len(now) >= 2 and even):
+            found.append(now)
+            now = []
+    if len(now) == 1 and found:
+        found[-1] += now
+    elif now:
+        found.append(now)
+    return found
 
 
-def brute(rows, s=S):
-    """First occurrences in order of (id, place), by the bytes themselves."""
-    order = lambda doc_id: ld.LAST if doc_id is None else doc_id
-    count, first = {}, {}
+def plain_passages(text):
+    """{passage: lines} of all runs of two lines or more within chunks, as lists."""
+    lines, found = text.split("\n"), []
+    for chunk in plain_chunks(text):
+        for a in range(len(chunk)):
+            for b in range(a + 1, len(chunk)):
+                found.append(("\n".join(lines[chunk[a] : chunk[b] + 1]), chunk[a], chunk[b]))
+    return found
+
+
+def brute(spark, rows):
+    """Passages of other documents before in the order, and later ones of the own text, go."""
+    marks = {r.t: r.m for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("m")).collect()}
+    document = lambda doc_id, text: (ld.LAST if doc_id is None else doc_id, marks[text])
+    first, count = {}, {}
     for doc_id, text in rows:
-        for start, end, chunk in ld.chunks(text or "", s):
-            if ld.is_multi_line(chunk, s.least_lines):
-                count[chunk] = count.get(chunk, 0) + 1
-                first[chunk] = min(first.get(chunk, order(doc_id)), order(doc_id))
+        for passage, _, _ in plain_passages(text or ""):
+            count[passage] = count.get(passage, 0) + 1
+            first[passage] = min(first.get(passage, document(doc_id, text)), document(doc_id, text))
     out = []
     for doc_id, text in rows:
-        if text is None:
-            out.append((doc_id, None))
-            continue
-        lines, seen, kept = text.split("\n"), set(), []
-        for start, end, chunk in ld.chunks(text, s):
-            cut = ld.is_multi_line(chunk, s.least_lines) and count[chunk] > 1 and (first[chunk] != order(doc_id) or chunk in seen)
-            seen.add(chunk)
-            kept += [] if cut else lines[start:end]
-        out.append((doc_id, "\n".join(kept)))
+        gone, seen = set(), {}
+        for passage, a, b in sorted(plain_passages(text or ""), key=lambda x: x[1]):
+            own = first[passage] == document(doc_id, text) and passage not in seen
+            seen[passage] = True
+            if count[passage] > 1 and not own:
+                gone |= set(range(a, b + 1))
+        out.append((doc_id, None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)))
     return out
 
 
@@ -42,7 +76,7 @@ def corpus(seed):
         for _ in range(rng.randrange(5)):
             text += rng.choice(passages) if rng.random() < 0.4 else [line() for _ in range(rng.randint(1, 6))]
         rows.append((k, "\n".join(text)))
-    return rows + [(500, rows[7][1]), (501, rows[7][1]), (3, rows[3][1]), (3, rows[7][1]), (None, rows[5][1]), (None, "x\ny"), (600, None), (601, ""), (602, "\n" * 50), (603, "a\nb\n" * 40)]
+    return rows + [(500, rows[7][1]), (501, rows[7][1]), (3, rows[3][1]), (3, rows[7][1]), (None, rows[5][1]), (None, "x\ny"), (600, None), (601, ""), (602, "\n" * 50), (603, "a\nb\n" * 40), (None, "x\ny"), (None, "z\nx\ny")]
 
 
 def test_equals_brute_force(spark):
@@ -50,16 +84,52 @@ def test_equals_brute_force(spark):
         rows = corpus(seed)
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
         got = [tuple(r) for r in ld.deduplicate(frame).collect()]
-        assert sorted(got, key=key) == sorted(brute(rows), key=key)
+        assert sorted(got, key=key) == sorted(brute(spark, rows), key=key)
 
 
 def test_chunks_cover_the_lines_and_resist_shifts():
     rng = random.Random(5)
-    lines = [f"line {rng.random()}" for _ in range(400)]
-    found = ld.chunks("\n".join(lines), S)
-    assert [x for start, end, _ in found for x in range(start, end)] == list(range(400))
-    moved = {c for _, _, c in ld.chunks("\n".join(["new first line", *lines[:200], "inserted", *lines[200:]]), S)}
-    assert sum(c in moved for _, _, c in found) > 0.95 * len(found)
+    lines = [f"line {rng.random()}".encode() for _ in range(400)]
+    text = lambda chunk, of: b"\n".join(of[k] for k in chunk)
+    found = ld.chunks(lines, S)
+    assert [x for chunk in found for x in chunk] == list(range(400))
+    longer = [b"new first line", *lines[:200], b"inserted", *lines[200:]]
+    moved = {text(c, longer) for c in ld.chunks(longer, S)}
+    assert sum(text(c, lines) in moved for c in found) > 0.95 * len(found)
+    blanks = [x for line in lines for x in (line, b"", b" ")]
+    assert [[k // 3 for k in chunk] for chunk in ld.chunks(blanks, S)] == found
+
+
+def share_cut(rng, size, gap, documents=6, trials=25):
+    """Of the lines of repeated passages in differing documents, the share that goes."""
+    line = lambda: " ".join(str(rng.random()) for _ in range(3))
+    some = lambda: [line() for _ in range(rng.randint(1, 8))]
+    kept = 0
+    for _ in range(trials):
+        passage = [line() for _ in range(size)]
+        texts = [gap.join([*some(), *passage, *some()]) for _ in range(documents)]
+        holders = {}
+        for k, text in enumerate(texts):
+            for _, _, h1, h2, _ in ld.passages(text, S):
+                holders.setdefault((h1, h2), []).append(k)
+        cut = [ld.cut(text, [{"h1": a, "h2": b, "own": min(x) == k} for (a, b), x in holders.items() if len(x) > 1], S)[0] for k, text in enumerate(texts)]
+        kept += sum(text.split("\n").count(x) for text in cut for x in passage) - size
+    return 1 - kept / (size * (documents - 1) * trials)
+
+
+def test_repeated_passages_between_differing_lines_go():
+    rng = random.Random(8)
+    for gap in ("\n", "\n\n"):
+        assert share_cut(rng, 2, gap) > 0.4
+        assert share_cut(rng, 4, gap) > 0.65
+        assert share_cut(rng, 12, gap) > 0.85
+
+
+def test_head_and_rest_agree(spark):
+    rows = corpus(3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted((tuple(r) for r in ld.deduplicate(frame, ld.Settings(head=head)).collect()), key=key) for head in (0, 5))
+    assert a == b
 
 
 def test_counts_columns_and_emptied_rows(spark):
