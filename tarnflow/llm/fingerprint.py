@@ -1,6 +1,6 @@
 """Document fingerprints by locally consistent parsing.
 
-A text is parsed level by level. On each level runs of one symbol fold into one;
+A text is parsed level by level, until one symbol is left. On each level runs of one symbol fold into one;
 deterministic coin tossing then gives every symbol a small label from the lowest
 bit in which it differs from its left neighbour, again and again, until labels
 are below six and still differ between neighbours. A phrase starts at each local
@@ -9,17 +9,19 @@ symbols of the next level. A label looks at a few neighbours only, so equal
 substrings are cut into equal phrases in their interior, at any offset.
 
 The fingerprint is the name of the whole text (16 hex digits) and a min-wise
-sketch of the phrase names of the upper levels (``BINS`` values of 4 hex digits).
-Likeness is the share of equal values among the bins that either side fills.
+sketch of the phrase names of all levels but the lowest (``BINS`` values of 8 hex
+digits). Likeness is the share of equal values among the bins that either side fills.
 
 The query also needs each document's successor in descending order of id. Ids
-are cut at quantiles into ranges, every range gets a copy of the first row of
+are cut at quantiles into ranges (an id of very many rows, and the rows without,
+into ranges of a hash of the text), every range gets a copy of the first row of
 the next one, and each is read in order with one row of memory: one shuffle of
 the text, no global sort.
 
-Defined cases: a null or empty text has no phrases and is like nothing but an
-equal text; rows of one id follow each other in order of text; null ids come
-last; a lone row is its own successor; an empty table gives no rows.
+Defined cases: a null or empty text, and one of a single phrase, has an empty sketch
+and is like nothing but an equal text; rows of one id follow each other in order of a
+hash of the text; null ids come last; a lone row is its own successor; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ from pyspark.sql import functions as F
 from tarnflow.llm.common import BATCH_CHARS, arrow_schema, id_and_text, map_texts, slices, to_batch
 
 BINS = 64
-EMPTY = 0xFFFF
-LEVELS = 5
+EMPTY = 0xFFFFFFFF
 #: Phrases of this and all higher levels enter the sketch, whatever the length of
 #: the text: sketches of different levels would not be alike.
 FROM_LEVEL = 2
+#: The order of rows without id: the last.
+LEAST = -(1 << 63)
 
 ONE = np.uint64(1)
 
@@ -115,7 +118,7 @@ def names(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(name of each text, its sketch of ``BINS`` values), empty texts named 0."""
     whole = np.zeros(len(texts), dtype=np.uint64)
-    sketch = np.full((len(texts), BINS), EMPTY, dtype=np.uint16)
+    sketch = np.full((len(texts), BINS), EMPTY, dtype=np.uint32)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     filled = np.flatnonzero(sizes)
     if not len(filled):
@@ -124,19 +127,24 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.zeros(len(symbols), dtype=bool)
     first[np.cumsum(sizes)[filled] - sizes[filled]] = True
     flat = sketch.reshape(-1)
-    for level in range(1, LEVELS + 1):
+    level = 0
+    while len(symbols):
+        level += 1
         symbols, first = phrases(symbols, first)
+        owner = filled[np.cumsum(first) - 1]
         if level >= FROM_LEVEL:
-            owner = filled[np.cumsum(first) - 1]
             taken = mix(symbols + np.uint64(level))
             bins = owner * BINS + (taken % np.uint64(BINS)).astype(np.int64)
-            np.minimum.at(flat, bins, ((taken >> np.uint64(32)) % np.uint64(EMPTY)).astype(np.uint16))
-    whole[filled] = names(symbols, np.flatnonzero(first))
+            np.minimum.at(flat, bins, ((taken >> np.uint64(32)) % np.uint64(EMPTY)).astype(np.uint32))
+        # texts of one symbol are done
+        done = first & np.r_[first[1:], True]
+        whole[owner[done]] = mix(symbols[done] + np.uint64(level))
+        symbols, filled, first = symbols[~done], filled[~done[first]], first[~done]
     return whole, sketch
 
 
 def encode(whole: np.ndarray, sketch: np.ndarray) -> list[str]:
-    return [f"{int(name):016x}{row.hex()}" for name, row in zip(whole, map(bytes, sketch.astype(">u2")))]
+    return [f"{int(name):016x}{row.hex()}" for name, row in zip(whole, map(bytes, sketch.astype(">u4")))]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -162,31 +170,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def ranges_of(rows: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Ascending bounds of ``ord``, at quantiles, and in how many ranges of the hash the
+    rows of an ``ord`` with more than one quantile are cut; each such has bounds of its own.
+    """
+    cuts = np.array(rows.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (10 * n)), dtype=np.int64)
+    values, times = np.unique(cuts, return_counts=True)
+    heavy = {int(v): int(k) + 1 for v, k in zip(values, times) if k > 1}
+    counts = rows.agg(F.count("*").alias("all"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
+    if counts["null"] * n > counts["all"]:
+        heavy[LEAST] = -(-counts["null"] * n // counts["all"])
+    borders = [x for v in heavy for x in (v, v + 1) if x < 1 << 63]
+    return np.unique(np.r_[values, np.array(borders, dtype=np.int64)]), heavy
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
     """Rows ``part, copy, ord, doc_id, text``, sorted so that within a part every
     row is followed by its successor; the rows with ``copy`` belong to the next part.
     """
     spark = docs.sparkSession
-    least = -(1 << 63)
-    rows = id_and_text(docs).withColumn("ord", F.coalesce("doc_id", F.lit(least)))
+    rows = id_and_text(docs).withColumns({"ord": F.coalesce("doc_id", F.lit(LEAST)), "h": F.xxhash64("text")})
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [k / (4 * n) for k in range(1, 4 * n)], 1 / (40 * n))
-    bounds = np.unique(np.array(cuts, dtype=np.int64))
+    bounds, heavy = ranges_of(rows.select("doc_id", "ord"), 4 * n)
+    # ranges in descending order of id, those of one id in order of the hash
+    lows = np.r_[LEAST, bounds][::-1]
+    times = np.array([heavy.get(int(low), 1) for low in lows])
+    base = np.cumsum(times) - times
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        """Parts in descending order of id."""
-        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(dtype=np.int64), side="right")).astype("int32"))
-
-    numbered = rows.withColumn("part", part_of("ord"))
-    heads = sorted((r["part"], r["head"]) for r in rows.select("ord").withColumn("part", part_of("ord")).groupBy("part").agg(F.max("ord").alias("head")).collect())
-    carry = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
-    copies = spark.createDataFrame(carry, "ord long, receiver int")
-    dealt = numbered.join(F.broadcast(copies), "ord", "left").select(
-        "ord", "doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(F.col("receiver").alias("part"), F.lit(True).alias("copy"))), lambda x: x["part"].isNotNull())).alias("to")
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = len(bounds) - np.searchsorted(bounds, ids.to_numpy(dtype=np.int64), side="right")
+        high = (hashes.to_numpy(dtype=np.int64) >> 32) + (1 << 31)
+        return pd.Series((base[at] + (high * times[at] >> 32)).astype("int32"))
+
+    numbered = rows.withColumn("part", part_of("ord", "h"))
+    # bounded: a row for each part
+    first = F.max(F.struct("ord", F.bitwise_not("h").alias("nh")))
+    heads = sorted((r["part"], r["head"]["ord"], ~r["head"]["nh"]) for r in numbered.select("part", "ord", "h").groupBy("part").agg(first.alias("head")).collect())
+    carry = [(head, h, heads[k - 1][0]) for k, (_, head, h) in enumerate(heads)]
+    copies = spark.createDataFrame(carry, "ord long, h long, receiver int")
+    dealt = numbered.join(F.broadcast(copies), ["ord", "h"], "left").select(
+        "ord", "h", "doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(F.col("receiver").alias("part"), F.lit(True).alias("copy"))), lambda x: x["part"].isNotNull())).alias("to")
     )
-    dealt = dealt.select("to.part", "to.copy", "ord", "doc_id", "text")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("ord"), "text")
+    dealt = dealt.select("to.part", "to.copy", "ord", "h", "doc_id", "text")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "copy", F.desc("ord"), "h", "text")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:

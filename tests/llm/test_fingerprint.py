@@ -1,7 +1,10 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from tarnflow.llm import fingerprint as fp
 
@@ -41,18 +44,88 @@ def test_batches_do_not_matter():
     assert len(set(together)) == len(set(texts))
 
 
+def plain_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) % 2**64
+    return x ^ x >> 31
+
+
+def toss(own, left):
+    """Twice the place of the lowest bit in which two numbers differ, plus the own bit there."""
+    bit = next((k for k in range(64) if (own ^ left) >> k & 1), 0)
+    return 2 * bit + (own >> bit & 1)
+
+
+def plain_phrases(symbols):
+    folded = []
+    for symbol, run in itertools.groupby(symbols):
+        n = len(list(run))
+        folded.append(symbol if n == 1 else plain_mix(symbol ^ n << 40))
+    labels = folded
+    for _ in range(4):
+        labels = [toss(x, labels[k - 1] if k else 0) for k, x in enumerate(labels)]
+    starts = [k for k in range(len(folded)) if k == 0 or (k < len(folded) - 1 and labels[k - 1] < labels[k] > labels[k + 1])]
+    return [plain_mix((sum(plain_mix((x + k * 0x9E3779B97F4A7C15) % 2**64) for k, x in enumerate(folded[a:b])) + b - a) % 2**64) for a, b in zip(starts, [*starts[1:], len(folded)])]
+
+
+def plain_fingerprint(text):
+    """Symbol by symbol, from the definition."""
+    bins, symbols, level, name = [None] * 64, [ord(c) + 1 for c in text], 0, 0
+    while symbols:
+        level += 1
+        symbols = plain_phrases(symbols)
+        for x in symbols if level > 1 else []:
+            value = plain_mix((x + level) % 2**64)
+            least = (value >> 32) % 0xFFFFFFFF
+            bins[value % 64] = least if bins[value % 64] is None else min(bins[value % 64], least)
+        if len(symbols) == 1:
+            name = plain_mix((symbols[0] + level) % 2**64)
+            break
+    return name, bins
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    either = [(x, y) for x, y in zip(a[1], b[1]) if (x, y) != (None, None)]
+    return sum(x == y for x, y in either) / max(1, len(either))
+
+
+def written(found):
+    return f"{found[0]:016x}" + "".join("ffffffff" if x is None else f"{x:08x}" for x in found[1])
+
+
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = lambda r: (r[0] is None, -(r[0] or 0), (xxhash.xxh64_intdigest(r[1] or "", 42) + 2**63) % 2**64)
+    rows = sorted(rows, key=order)
     out = []
     for k, (doc_id, text) in enumerate(rows):
         text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(text) // 2
         new = text[: len(text) - half] + following[:half]
-        a, b, c = (fp.fingerprints([t]) for t in (text, new, following))
-        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), fp.encode(*a)[0], fp.encode(*b)[0], fp.likeness(a, b)[0], fp.likeness(a, c)[0]))
+        a, b, c = map(plain_fingerprint, (text, new, following))
+        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), written(a), written(b), plain_likeness(a, b), plain_likeness(a, c)))
     return out
 
 
+def test_parse_against_plain_parse():
+    rng = random.Random(12)
+    texts = [prose(rng, rng.choice([1, 2, 5, 40, 150])) for _ in range(40)] + ["", "a", "aa", "ab", "aba", "a" * 300, "ab" * 70, "日本語" * 9, "\n\n x"]
+    whole, sketch = fp.fingerprints(texts)
+    assert fp.encode(whole, sketch) == [written(plain_fingerprint(t)) for t in texts]
+
+
+def test_very_long_texts():
+    """Parsed to the root: unrelated texts of two million characters are not alike, near
+    ones are."""
+    rng = np.random.default_rng(13)
+    text = lambda: "".join(map(chr, rng.integers(97, 123, 2_000_000)))
+    a, b = text(), text()
+    whole, sketch = fp.fingerprints([a, b, a[:1_000_000] + "!" + a[1_000_000:]])
+    like = lambda x, y: fp.likeness((whole[x : x + 1], sketch[x : x + 1]), (whole[y : y + 1], sketch[y : y + 1]))[0]
+    assert like(0, 1) == 0 and like(0, 2) > 0.9
+
+
 def as_rows(frame):
     return [tuple(r) for r in frame.collect()]
 
@@ -66,6 +139,18 @@ def test_successors_against_brute_force(spark):
     assert sorted(as_rows(fp.compare_edits(frame)), key=order) == sorted(brute(rows), key=order)
 
 
+def test_ids_of_very_many_rows_are_spread(spark):
+    """A third of the rows without id, and a third of one id."""
+    rng = random.Random(5)
+    rows = [(None, prose(rng, 4)) for _ in range(100)] + [(50, prose(rng, 5)) for _ in range(100)] + [(k, prose(rng, 6)) for k in range(100)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(as_rows(fp.compare_edits(frame)), key=order) == sorted(brute(rows), key=order)
+    sizes = [r["n"] for r in fp.with_successors(frame).filter("NOT copy").groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 60
+
+
 def test_small_tables(spark):
     schema = "doc_id long, text string"
     assert fp.compare_edits(spark.createDataFrame([], schema)).count() == 0
