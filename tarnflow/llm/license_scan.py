@@ -12,10 +12,14 @@ twice the notice's length, have in common, with their numbers, bound the coverag
 from above; where the bound stays under ``least`` nothing is aligned. Of the
 windows of a notice of ``LONG`` words or more, one in each sixteenth of its length
 is aligned, and the last of each run: any match within a window less a sixteenth
-lies whole in one of them. Whole texts are searched, each notice is reported
-where it is covered best, and of notices that overlap the one with most matched
-words (then of higher coverage, then first by name) stays, so that a notice does
-not hide a longer one that contains it.
+lies whole in one of them.
+
+Whole texts are searched for every occurrence of every notice: the search goes on
+behind each match. In short notices the words that tell licences apart (a version, a
+family, an attribute) must be among the matched ones, and no attribute of another
+licence may stand between them. Of matches that overlap the one with most matched
+words (then of higher coverage, then first by name) stays, so that a notice does not
+hide a longer one that contains it; what lost to it is searched again in the gaps.
 
 Defined cases: a null or empty text has no licences; equal rows get equal rows;
 an empty table gives no rows.
@@ -27,14 +31,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from tarnflow.llm.common import map_texts
-from tarnflow.llm.license_texts import NOTICES
+from tarnflow.llm.license_texts import ATTRIBUTES, FAMILIES, NOTICES
 
 #: Notices of so many words have their windows aligned in steps.
 LONG = 128
@@ -97,6 +101,10 @@ class Notice:
     words: tuple[str, ...]
     #: One of these is in every text that covers ``least`` of the notice.
     signs: tuple[str, ...]
+    #: Each of these must be matched.
+    required: frozenset[str]
+    #: None of these may stand unmatched within the match.
+    barred: frozenset[str]
     counts: Counter[str] = field(compare=False)
 
 
@@ -106,6 +114,8 @@ class Match:
     coverage: float
     start: int
     end: int
+    #: Matched words.
+    matched: int
 
 
 @lru_cache(maxsize=4)
@@ -115,7 +125,11 @@ def notices(least: float) -> tuple[Notice, ...]:
         words = words_of(text)
         order = sorted(words, key=lambda w: (-len(w), w))
         signs = order[: len(words) - needed(len(words), least) + 1]
-        found.append(Notice(name, tuple(words), tuple(dict.fromkeys(signs)), Counter(words)))
+        known = set(words)
+        version = {x for v in re.findall(r"\d+(?:\.\d+)?", name) for x in (v, v.removesuffix(".0"))}
+        required = known & (FAMILIES | ATTRIBUTES | version) if len(words) < LONG else set()
+        barred = ATTRIBUTES - known if len(words) < LONG else set()
+        found.append(Notice(name, tuple(words), tuple(dict.fromkeys(signs)), frozenset(required), frozenset(barred), Counter(words)))
     return tuple(found)
 
 
@@ -125,17 +139,18 @@ def needed(n: int, least: float) -> int:
     return next(k for k in range(n + 1) if k >= least * n - 1e-9)
 
 
-def windows(words: list[str], notice: Notice, least: float) -> Iterator[tuple[int, int]]:
+def windows(words: list[str], notice: Notice, least: float, places: list[int], first: int = 0) -> Iterator[tuple[int, int]]:
     """Windows of up to twice the notice's length that have enough words in common
-    with it, all or in steps; each starts and ends with such a word."""
+    with it, all or in steps; each starts and ends with such a word. ``places`` are
+    those of all words of the notice; ``first`` is the one to start from."""
     want = notice.counts
-    places = [k for k, word in enumerate(words) if word in want]
     goal, span = needed(len(notice.words), least), 2 * len(notice.words)
     step = len(notice.words) // 16 if len(notice.words) >= LONG else 1
     have: Counter[str] = Counter()
-    common, low, due = 0, 0, 0
+    common, low, due = 0, first, 0
     passed: tuple[int, int] | None = None
-    for at in places:
+    for k in range(first, len(places)):
+        at = places[k]
         word = words[at]
         have[word] += 1
         common += have[word] <= want[word]
@@ -180,29 +195,85 @@ def may_be_covered(words: list[str], least: float) -> list[Notice]:
     return [notices(least)[k] for k in np.flatnonzero(common >= goals)]
 
 
-def best_match(words: list[str], notice: Notice, least: float) -> Match | None:
-    """The first stretch of highest coverage, if that reaches ``least``."""
-    most, found = needed(len(notice.words), least) - 1, None
-    for low, high in windows(words, notice, least):
-        pairs = patience(words[low:high], list(notice.words))
-        if len(pairs) > most:
-            most = len(pairs)
-            found = Match(notice.name, most / len(notice.words), low + pairs[0][0], low + pairs[-1][0] + 1)
-            if most == len(notice.words):
+def match_in(words: list[str], notice: Notice, low: int, high: int, least: float) -> Match | None:
+    """The alignment of the notice with a window, if it covers enough and what it must."""
+    pairs = patience(words[low:high], list(notice.words))
+    if len(pairs) < needed(len(notice.words), least):
+        return None
+    if not notice.required <= {notice.words[k] for _, k in pairs}:
+        return None
+    start, end = low + pairs[0][0], low + pairs[-1][0] + 1
+    if not notice.barred.isdisjoint(words[start:end]):
+        return None
+    return Match(notice.name, len(pairs) / len(notice.words), start, end, len(pairs))
+
+
+def tightest(words: list[str], notice: Notice, match: Match, least: float) -> Match:
+    """The match from the last place on from which as many words are matched: the start
+    of one occurrence may else be joined to the end of the next."""
+    for low in range(match.end - match.matched, match.start, -1):
+        later = match_in(words, notice, low, match.end, least)
+        if later and later.matched >= match.matched:
+            return later
+    return match
+
+
+def matches_of(words: list[str], notice: Notice, least: float) -> Iterator[Match]:
+    """All occurrences in order, without overlaps: from where one ends the search
+    starts anew. Of overlapping stretches the first of highest coverage counts."""
+    places = [k for k, word in enumerate(words) if word in notice.counts]
+    first = 0
+    while first < len(places):
+        found = None
+        for low, high in windows(words, notice, least, places, first):
+            if found and low >= found.end:
+                break
+            match = match_in(words, notice, low, high, least)
+            if match and match.end - match.start > len(notice.words) and len(notice.words) < LONG:
+                match = tightest(words, notice, match, least)
+            if match and found and match.start >= found.end:
                 break
-    return found
+            if match and (not found or match.matched > found.matched):
+                found = match
+                if match.matched == len(notice.words):
+                    break
+        if not found:
+            return
+        yield found
+        first = bisect_left(places, found.end)
+
+
+def without_overlaps(found: list[Match], kept: list[Match]) -> list[Match]:
+    """``kept`` (in order, without overlaps) and all of ``found`` that fit in, best
+    first: identifier lines, then by matched words."""
+    starts = [m.start for m in kept]
+    for match in sorted(found, key=lambda m: (not m.name.endswith("-spdx"), -m.matched, -m.coverage, m.name, m.start)):
+        at = bisect_left(starts, match.end)
+        if not at or kept[at - 1].end <= match.start:
+            kept.insert(at, match)
+            starts.insert(at, match.start)
+    return kept
 
 
 def scan(text: str, least: float = 0.8) -> list[Match]:
-    """The notices that a whole text covers, in order of place."""
+    """The notices that a whole text covers, every occurrence, in order of place."""
     words = words_of(text)
-    hopeful = [x for x in may_be_covered(words, least) if not set(x.signs).isdisjoint(words)]
-    found = [(match, round(match.coverage * len(notice.words))) for notice in hopeful if (match := best_match(words, notice, least))]
-    kept: list[Match] = []
-    for match, _ in sorted(found, key=lambda x: (-x[1], -x[0].coverage, x[0].name)):
-        if all(match.end <= other.start or match.start >= other.end for other in kept):
-            kept.append(match)
-    return sorted(kept, key=lambda m: m.start)
+    wanted = [x for x in may_be_covered(words, least) if not set(x.signs).isdisjoint(words)]
+    gaps, kept = [(0, len(words))], []
+    while wanted:
+        found = []
+        for low, high in gaps:
+            part = words[low:high]
+            for notice in wanted:
+                if len(part) >= needed(len(notice.words), least):
+                    found += [replace(m, start=m.start + low, end=m.end + low) for m in matches_of(part, notice, least)]
+        kept = without_overlaps(found, kept)
+        # what a better match hid may also occur beside it
+        lost = {m.name for m in set(found) - set(kept)}
+        wanted = [x for x in wanted if x.name in lost]
+        edges = [0, *(x for m in kept for x in (m.start, m.end)), len(words)]
+        gaps = list(zip(edges[::2], edges[1::2]))
+    return kept
 
 
 def scan_licenses(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -37,6 +37,19 @@ NOTICES = {
     ),
 }
 
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+
+# Words that tell licences apart. A short notice with one of the first kind or
+# of the second needs it in the text, and none of the second may be added to it there.
+FAMILIES = frozenset("apache mit gnu mozilla bsd bsd-style gpl lgpl agpl mpl cc cc0 by by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution unencumbered redistribution endorse promote".split())
+ATTRIBUTES = frozenset(
+    "affero lesser library sharealike share-alike noncommercial non-commercial noderivatives noderivs no-derivatives "
+    "attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives".split()
+)
+
 WARRANTY = (
     "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
     "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. "

@@ -47,7 +47,8 @@ def test_the_quick_tests_lose_nothing():
                 continue
             text = ["filler"] * rng.randrange(40) + words + ["the"] * rng.randrange(40)
             assert set(words) & set(notice.signs)
-            assert ls.best_match(text, notice, 0.8).coverage >= 0.8 or len(ls.patience(words, list(notice.words))) < ls.needed(len(notice.words), 0.8)
+            whole = ls.match_in(words, notice, 0, len(words), 0.8)
+            assert not whole or next(ls.matches_of(text, notice, 0.8)).coverage >= 0.8
 
 
 def test_every_notice_is_found_in_long_text():
@@ -60,6 +61,57 @@ def test_every_notice_is_found_in_long_text():
         assert (match.name, match.start) == (name, 2)
 
 
+def test_all_occurrences_of_all_notices():
+    names = lambda text: [m.name for m in ls.scan(text)]
+    lesser, plain = ls.NOTICES["LGPL-3.0-notice"], ls.NOTICES["GPL-3.0-notice"]
+    assert names(f"{lesser}\n{plain}") == ["LGPL-3.0-notice", "GPL-3.0-notice"]
+    assert names(f"{plain}\n{lesser}") == ["GPL-3.0-notice", "LGPL-3.0-notice"]
+    mit = ls.NOTICES["MIT-notice"]
+    assert names(f"{mit} {mit} and some other words, then {mit}") == ["MIT-notice"] * 3
+    assert names("word " * 50 + f"{mit}\n" * 400) == ["MIT-notice"] * 400
+    header = ls.NOTICES["Apache-2.0-header"]
+    assert names(f"{ls.NOTICES['Apache-2.0']} text {header} text {ls.NOTICES['Apache-2.0']}") == ["Apache-2.0", "Apache-2.0-header", "Apache-2.0"]
+
+
+def test_words_that_tell_licences_apart():
+    names = lambda text: [m.name for m in ls.scan(text)]
+    assert names("Licensed under CC BY-NC-SA 4.0.") == []
+    assert names("Licensed under CC BY 3.0.") == []
+    assert names("Licensed under CC BY-NC 4.0") == ["CC-BY-NC-4.0"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 2.") == []
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-notice"]
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.") == ["CC-BY-NC-SA-4.0-notice"]
+    assert names(ls.NOTICES["BSD-3-Clause"]) == ["BSD-3-Clause"]
+    assert names(ls.NOTICES["BSD-3-Clause-text"]) == ["BSD-3-Clause-text"]
+    assert names(ls.NOTICES["BSD-2-Clause-text"]) == ["BSD-2-Clause-text"]
+
+
+def test_matches_against_all_stretches():
+    """Of random texts with notices in them, what is found is what brute force over all
+    stretches up to twice a notice's length finds, occurrence by occurrence."""
+    rng = random.Random(7)
+    some = [x for x in ls.notices(0.8) if len(x.words) < 20]
+    for _ in range(60):
+        notice = rng.choice(some)
+        text = []
+        for _ in range(rng.randrange(4)):
+            text += [rng.choice(["own", "words", "the", "license"]) for _ in range(rng.randrange(2 * len(notice.words), 50))]
+            text += [w for w in notice.words if rng.random() > 0.08]
+        text += ["end"] * 30
+        spans = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + 2 * len(notice.words)) + 1)]
+        good = [m for a, b in spans if (m := ls.match_in(text, notice, a, b, 0.8))]
+        groups, end = [], -1
+        for m in sorted(good, key=lambda m: m.start):
+            if m.start >= end:
+                groups.append([])
+            groups[-1].append(m)
+            end = max(end, m.end)
+        found = list(ls.matches_of(text, notice, 0.8))
+        assert len(found) == len(groups)
+        for match, group in zip(found, groups):
+            assert match.matched == max(m.matched for m in group)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "Plain words only."), (4, "x\nReleased under the MIT License.\ny Licensed under CC BY-NC 4.0."), (None, "Licensed under CC BY 4.0")]
     frame = spark.createDataFrame([(a, b, "z", 1.0) for a, b in [*rows, rows[3]]], "doc_id long, text string, licenses string, coverage double")
