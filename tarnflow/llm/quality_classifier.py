@@ -55,11 +55,18 @@ class Settings:
     threshold: float = 0.7
 
 
-@lru_cache(maxsize=50_000)
-def shape_bucket(shape: str, buckets: int) -> int:
+def bucket_of(shape: str, buckets: int) -> int:
     return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % buckets
 
 
+known_bucket = lru_cache(maxsize=50_000)(bucket_of)
+
+
+def shape_bucket(shape: str, buckets: int) -> int:
+    """The bucket of a whole shape; only short ones are remembered."""
+    return (known_bucket if len(shape) < 64 else bucket_of)(shape, buckets)
+
+
 def features(text: str, shapes: int) -> np.ndarray:
     """Features of one whole text, each of bounded size."""
     words = text.split()
@@ -90,7 +97,7 @@ def features(text: str, shapes: int) -> np.ndarray:
     ]
     bag = np.zeros(shapes)
     for shape, count in Counter(RUN.sub(r"\1", text.translate(SHAPE)).split()).items():
-        bag[shape_bucket(shape[:24], shapes)] += count
+        bag[shape_bucket(shape, shapes)] += count
     return np.concatenate([dense, np.sqrt(bag * per)])
 
 
@@ -118,6 +125,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(net: Network, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positive part, negative part) of the unbiased risk over positives ``xp`` and
+    unlabelled rows ``xu``; the risk is the sum, the negative part not below zero."""
+    zp, zu = net.forward(xp)[0], net.forward(xu)[0]
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def gradients(net: Network, xp: np.ndarray, xu: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Of the risk by each weight; where the negative part has fallen below zero, of
+    minus that part alone, which steps back."""
+    x = np.concatenate([xp, xu])
+    logit, hidden = net.forward(x)
+    zp, zu = logit[: len(xp)], logit[len(xp) :]
+    if risk(net, xp, xu, prior)[1] >= 0:
+        gp = np.full(len(xp), -prior / len(xp))
+        gu = sigmoid(zu) / len(xu)
+    else:
+        gp, gu = prior * sigmoid(zp) / len(xp), -sigmoid(zu) / len(xu)
+    g = np.concatenate([gp, gu])
+    back = np.outer(g, net.weights[2]) * (1 - hidden**2)
+    return [x.T @ back, back.sum(axis=0), hidden.T @ g, np.array([g.sum()])]
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Settings) -> Network:
     """Minimise the non-negative risk by Adam over mini-batches of both samples."""
     rng = np.random.default_rng(s.seed)
@@ -129,23 +159,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Settings)
     second = [np.zeros_like(w) for w in net.weights]
     for step in range(1, s.steps + 1):
         xp, xu = p[rng.integers(0, len(p), min(len(p), s.batch))], u[rng.integers(0, len(u), min(len(u), s.batch))]
-        x = np.concatenate([xp, xu])
-        logit, hidden = net.forward(x)
-        zp, zu = logit[: len(xp)], logit[len(xp) :]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # derivative of the risk by each logit; where the negative part has
-        # fallen below zero, a step back on that part alone
-        if negative >= 0:
-            gp = np.full(len(xp), -prior / len(xp))
-            gu = sigmoid(zu) / len(xu)
-        else:
-            gp, gu = prior * sigmoid(zp) / len(xp), -sigmoid(zu) / len(xu)
-        g = np.concatenate([gp, gu])
-        w1, _, w2, _ = net.weights
-        back = np.outer(g, w2) * (1 - hidden**2)
-        grads = [x.T @ back + s.decay * w1, back.sum(axis=0), hidden.T @ g + s.decay * w2, np.array([g.sum()])]
         rate = s.rate * (1 - 0.9 * step / s.steps)
-        for k, grad in enumerate(grads):
+        for k, grad in enumerate(gradients(net, xp, xu, prior)):
+            if k % 2 == 0:
+                grad = grad + s.decay * net.weights[k]
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad**2
             net.weights[k] = net.weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)

@@ -60,7 +60,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
             assert not {503, 504} & set(after)
             assert len(after) > 160
         elif name == "line_dedup":
-            expected = dict(brute_lines(list(before.items())))
+            expected = dict(brute_lines(spark, list(before.items())))
             assert after == {k: t for k, t in expected.items() if t.split()}
             assert all(r.n_chars == len(r.text) for r in docs.collect())
             assert not {300, 301, 302} & set(after)
@@ -79,6 +79,31 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids, a very long text, and extra columns with clashing names."""
+    rng = random.Random(21)
+    rows = [(*r, 1, "x", 2.0, True) for r in corpus()[:60]]
+    text = lambda n: "\n".join(" ".join(rng.choice(STEMS["en"]) + rng.choice(STEMS["en"]) + str(rng.randrange(10**6)) for _ in range(8)) for _ in range(n))
+    long_text, alone, twice = text(30_000), text(6), text(7)
+    rows += [(700, long_text, "en", "web", 1, 1, "y", 1.0, None), (None, alone, "en", "web", 1, 1, "y", 1.0, None), (None, None, None, None, None, None, None, None, None)]
+    rows += [(701, twice, "en", "web", 1, 1, "y", 1.0, None)] * 3 + [(5, text(5), "en", "web", 1, 2, "z", 0.5, False), (None, rows[7][1], "en", "web", 1, 1, "y", 1.0, None)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", component_id int, h1 string, score double, held_out boolean").repartition(5)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == frame.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = docs.select("doc_id", "text").collect()
+    ids = [r.doc_id for r in left if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and {700, 701, 5} <= set(ids)
+    assert {r.text for r in left if r.doc_id in (None, 700, 701)} == {alone, long_text, twice}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == len(set(ids)) + 1
+    assert packed.filter("doc_id = 700").count() > 100
+
+
 def test_language_rows(spark):
     rows = corpus()
     frame = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", score int")
@@ -111,8 +136,9 @@ def test_naive_bayes_against_plain_sums():
         assert score == pytest.approx((chance / chance.sum()).max())
 
 
-def test_equal_first_lines_alone_are_no_chunk():
-    assert not ld.is_multi_line(b"one line", 2) and not ld.is_multi_line(b"one\n \n", 2) and ld.is_multi_line(b"a\nb", 2)
+def test_a_single_line_is_no_passage():
+    s = ld.Settings()
+    assert not list(ld.passages("one line", s)) and not list(ld.passages("one\n \n", s)) and len(list(ld.passages("a\nb", s))) == 1
 
 
 def test_long_texts_outweigh_the_prior():
