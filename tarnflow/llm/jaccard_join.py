@@ -85,7 +85,7 @@ class Settings:
     #: Such shingles at most, the most frequent; all others are counted exactly.
     frequent: int = 1 << 18
     #: Shingles that one task counts, about.
-    range_size: int = 3_000_000
+    range_size: int = 1_500_000
     least_ranges: int = 8
     #: Characters of the texts that one batch of pieces holds, about.
     batch_chars: int = 4_000_000
@@ -242,6 +242,7 @@ def counted(docs: DataFrame, order: np.ndarray, s: Settings, count: int) -> Data
                 yield pa.RecordBatch.from_arrays([*heads.columns, pa.nulls(heads.num_rows, pa.binary())], schema=kinds)
             held.append(batch.filter(pa.compute.invert(whole)).select(["batch", "r", "owners", "low", "high"]))
         rows = pa.Table.from_batches(held) if held else None
+        held.clear()
         if not rows or not rows.num_rows:
             return
         sizes = np.array([len(x) for x in rows.column("high").to_pylist()])
@@ -252,9 +253,10 @@ def counted(docs: DataFrame, order: np.ndarray, s: Settings, count: int) -> Data
         number = np.diff(np.r_[start, len(ranked)])
         octave = np.empty(len(code), dtype=np.uint8)
         octave[order] = np.repeat(np.ceil(np.log2(number)).astype(np.uint8), number)
-        del order, ranked
+        del order, ranked, start, number
         many = octave > 0
         code, octave, owner = code[many], octave[many], joined(rows.column("owners"), np.uint16)[many]
+        rows = rows.select(["batch", "r"])
         ends = np.r_[0, np.cumsum(many)][np.cumsum(sizes)]
         low, high = code.astype(np.uint32), (code >> np.uint64(32)).astype(np.uint8)
         bounds = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))
