@@ -161,3 +161,19 @@ def byte_range(data: Column, left: int = 0, right: int = -1) -> Column:
     high = F.lit(right) if right >= 0 else size + right
     low = F.greatest(low, F.lit(0))
     return F.substring(data, low + 1, F.greatest(F.least(high, size - 1) - low + 1, F.lit(0)))
+
+
+def byte_hash(text: Column) -> Column:
+    """The 32-bit hash of a text's bytes that the hash partitioner uses, without sign:
+    from 1 on, 31 times the hash so far plus the byte (a signed one), for each byte."""
+    digits = F.hex(F.encode(text, "utf-8"))
+    size = F.octet_length(text)
+    code = lambda k: F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("long")
+    signed = lambda b: F.when(b > 127, b - 256).otherwise(b)
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(1).cast("long"), lambda h, k: F.pmod(31 * h + signed(code(k)), F.lit(1 << 32)))
+
+
+def hash_partition(text: Column, parts: int) -> Column:
+    """The partition of a text key: its hash without the sign bit, modulo ``parts``."""
+    return byte_hash(text).bitwiseAND(F.lit((1 << 31) - 1)) % parts

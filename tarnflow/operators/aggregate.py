@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.functions.text import split_key_value
+
 #: Types that :func:`aggregate` knows.
 TYPES = ("LongValueSum", "DoubleValueSum", "LongValueMax", "LongValueMin", "StringValueMax", "StringValueMin", "UniqValueCount", "ValueHistogram")
 
@@ -30,43 +33,67 @@ def file_record_count() -> Emit:
     return Emit("LongValueSum", F.input_file_name(), F.lit(1))
 
 
-def aggregate(df: DataFrame, emits: list[Emit], most_unique: int | None = None) -> DataFrame:
+#: How types that combine value by value come from text values.
+COMBINED = {
+    "LongValueSum": lambda v: F.sum(v.try_cast("long")),
+    "DoubleValueSum": lambda v: F.sum(v.try_cast("double")),
+    "LongValueMax": lambda v: F.max(v.try_cast("long")),
+    "LongValueMin": lambda v: F.min(v.try_cast("long")),
+    "StringValueMax": F.max,
+    "StringValueMin": F.min,
+}
+
+
+def aggregate(df: DataFrame, emits: list[Emit], most_unique: int | None = None, plugins: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """``type, id, result`` (text) of several aggregates, each with its own groups.
 
-    The rows are unpivoted once, ``(type, id, value)`` is counted first (which
-    combines in every task, also for very common ids), and the few distinct values
-    then give every kind of result. ``most_unique`` reports at most that many
-    unique values and one more.
+    The rows are unpivoted once. Sums, greatest and least values are partial aggregates
+    by (type, id); only unique counts and histograms go by (type, id, value), counted
+    first, which combines in every task, also for very common ids. ``most_unique``
+    reports at most that many unique values and one more. ``plugins`` are types of the
+    caller's: an aggregate of the text values by name.
     """
-    unknown = [e.kind for e in emits if e.kind not in TYPES]
+    combined = COMBINED | (plugins or {})
+    unknown = [e.kind for e in emits if e.kind not in TYPES and e.kind not in combined]
     if unknown:
         raise ValueError(f"unknown aggregate types {unknown}")
-    rows = F.explode(F.array(*(F.struct(F.lit(e.kind).alias("type"), e.id.cast("string").alias("id"), e.value.cast("string").alias("value")) for e in emits)))
-    counted = df.select(rows.alias("e")).select("e.*").filter("value IS NOT NULL").groupBy("type", "id", "value").agg(F.count("*").alias("n"))
-    whole, real = F.col("value").try_cast("long"), F.col("value").try_cast("double")
-    unique = F.count("*")
-    if most_unique is not None:
-        unique = F.least(unique, F.lit(most_unique + 1))
-    of = {
-        "LongValueSum": F.sum(whole * F.col("n")),
-        "DoubleValueSum": F.sum(real * F.col("n")),
-        "LongValueMax": F.max(whole),
-        "LongValueMin": F.min(whole),
-        "StringValueMax": F.max("value"),
-        "StringValueMin": F.min("value"),
-        "UniqValueCount": unique,
-    }
-    kinds = dict.fromkeys(e.kind for e in emits)
-    # only the wanted aggregates run, each over the rows of its type
-    results = [_histogram_text(counted) if kind == "ValueHistogram" else _only(kind, of[kind], counted) for kind in kinds]
+    results = []
+    direct = [e for e in emits if e.kind in combined]
+    if direct:
+        value, kind = F.col("value"), F.col("type")
+        kinds = list(dict.fromkeys(e.kind for e in direct))
+        each = [combined[k](F.when(kind == k, value)).cast("string").alias(f"r{n}") for n, k in enumerate(kinds)]
+        chosen = F.coalesce(*(F.when(kind == k, F.col(f"r{n}")) for n, k in enumerate(kinds)))
+        results.append(_unpivoted(df, direct).groupBy("type", "id").agg(*each).select("type", "id", chosen.alias("result")))
+    by_value = [e for e in emits if e.kind not in combined]
+    if by_value:
+        counted = _unpivoted(df, by_value).groupBy("type", "id", "value").agg(F.count("*").alias("n"))
+        if any(e.kind == "UniqValueCount" for e in by_value):
+            unique = F.count("*") if most_unique is None else F.least(F.count("*"), F.lit(most_unique + 1))
+            results.append(counted.filter(F.col("type") == "UniqValueCount").groupBy("type", "id").agg(unique.cast("string").alias("result")))
+        if any(e.kind == "ValueHistogram" for e in by_value):
+            results.append(_histogram_text(counted))
     out = results[0]
     for result in results[1:]:
         out = out.unionByName(result)
     return out
 
 
-def _only(kind: str, result: Column, counted: DataFrame) -> DataFrame:
-    return counted.filter(F.col("type") == kind).groupBy("type", "id").agg(result.cast("string").alias("result"))
+def _unpivoted(df: DataFrame, emits: list[Emit]) -> DataFrame:
+    rows = F.explode(F.array(*(F.struct(F.lit(e.kind).alias("type"), e.id.cast("string").alias("id"), e.value.cast("string").alias("value")) for e in emits)))
+    return df.select(rows.alias("e")).select("e.*").filter("value IS NOT NULL")
+
+
+def aggregate_lines(lines: DataFrame, column: str = "value", most_unique: int | None = None) -> DataFrame:
+    """The reducer of ``Type:id<tab>value`` lines, as external mappers write them; lines
+    of another form are an error."""
+    key, value = split_key_value(F.col(column))
+    kind, name = F.substring_index(key, ":", 1), F.expr(f"substring({column}, instr({column}, ':') + 1)")
+    known = kind.isin(*TYPES) & (F.instr(key, ":") > 0)
+    checked = F.when(known, kind).otherwise(F.raise_error(F.concat(F.lit("not an aggregate: "), key)))
+    rows = lines.select(checked.alias("kind"), split_key_value(name)[0].alias("id"), value.alias("value"))
+    # one emit for each type; a row's value counts for its own type only
+    return aggregate(rows, [Emit(k, F.col("id"), F.when(F.col("kind") == k, F.col("value"))) for k in TYPES], most_unique)
 
 
 def _histogram_text(counted: DataFrame) -> DataFrame:
@@ -132,6 +159,27 @@ def moving_stats(df: DataFrame, time: str, value: Column, windows: dict[str, str
     return rows.agg(F.sum(value).alias("since_start"), *last)
 
 
+def bucket_totals(df: DataFrame, time: str, value: Column, seconds: int) -> DataFrame:
+    """``bucket, total``: totals by buckets of so many seconds, which moving counters keep."""
+    return df.groupBy(F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000)).cast("long").alias("bucket")).agg(F.sum(value).alias("total"))
+
+
+def merge_buckets(*totals: DataFrame) -> DataFrame:
+    """The buckets after an update: as many rows as buckets, however many updates."""
+    out = totals[0]
+    for more in totals[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("bucket").agg(F.sum("total").alias("total"))
+
+
+def bucketed_stats(buckets: DataFrame, seconds: int, spans: dict[str, int], now: int | None = None) -> DataFrame:
+    """Totals since the start and over the last ``spans`` (seconds, whole buckets) up to
+    the bucket ``now`` (by default the last one)."""
+    rows = buckets.withColumn("__now", F.lit(now)) if now is not None else buckets.crossJoin(F.broadcast(buckets.agg(F.max("bucket").alias("__now"))))  # one row
+    last = [F.sum(F.when(F.col("bucket") > F.col("__now") - span // seconds, F.col("total"))).alias(name) for name, span in spans.items()]
+    return rows.agg(F.sum("total").alias("since_start"), *last)
+
+
 def size_estimate(df: DataFrame, output: Column, total_rows: int, share: float = 0.1) -> DataFrame:
     """Estimated output size of all rows, from the bytes of a share of them."""
     seen = df.sample(fraction=share, seed=7).agg(F.count("*").alias("n"), F.sum(F.length(output)).alias("bytes"))

@@ -52,11 +52,14 @@ def multi_filter(joined: DataFrame, key: list[str], value: Column, name: str = "
     return joined.select(*key, value.alias(name)).filter(F.col(name).isNotNull())
 
 
-def tagged_join(sources: dict[str, DataFrame], key: str, value: str, combine: Callable[[list[str]], Column] | None = None, least: int = 2, separator: str = "\t") -> DataFrame:
+def tagged_join(sources: dict[str, DataFrame], key: str, value: str, combine: Callable[[list[str]], Column] | None = None, least: int = 2, separator: str = "\t", most_values: int | None = None) -> DataFrame:
     """Cross product by key of the sources that have it, in order of tag; rows with
     fewer than ``least`` sources are dropped, and so are those whose combination is
-    null. The default combination joins the values of the sources present."""
+    null. The default combination joins the values of the sources present. Of a source
+    at most ``most_values`` values of a key take part, the first in order."""
     tags = sorted(sources)
+    if most_values is not None:
+        sources = {t: first_of_key(f, [key], [F.col(value)], most_values) for t, f in sources.items()}
     frames = [sources[t].select(F.col(key).alias("key"), F.struct(F.col(value).alias("v")).alias(t)) for t in tags]
     joined = reduce(lambda a, b: a.join(b, "key", "full"), frames)
     count = sum((F.col(t).isNotNull().cast("int") for t in tags), F.lit(0))
@@ -119,7 +122,7 @@ def side_join(df: DataFrame, side: DataFrame, key: list[str], how: str = "left",
     return df.join(F.broadcast(side) if size <= most_bytes else side, key, how)
 
 
-def first_of_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order."""
+def first_of_key(df: DataFrame, key: list[str], order: list[Column], rows: int = 1) -> DataFrame:
+    """The first rows of each key in an order; each task keeps as many before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+    return df.withColumn("__place", place).filter(F.col("__place") <= rows).drop("__place")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
+import threading
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +47,46 @@ def pipe_job(df: DataFrame, mapper: str, reducer: str | None = None, combiner: s
     if combiner:
         mapped = _lines(key_value_lines(mapped.sortWithinPartitions("key", "value")), combiner, "\t", 1)
     return pipe_reduce(mapped, reducer) if reducer else mapped
+
+
+def pipe_pairs(df: DataFrame, command: str, schema: str) -> DataFrame:
+    """Each partition's rows of two columns as typed bytes through a command, which
+    writes typed bytes; its pairs as ``schema``.
+
+    One thread feeds the command while its output is read, so neither is held whole.
+    """
+    from tarnflow.sources.arrow import arrow_schema
+    from tarnflow.sources.typed_bytes import decode, encode
+
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process = subprocess.Popen(command, shell=True, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+        def feed() -> None:
+            with process.stdin as pipe:
+                for batch in batches:
+                    for key, value in zip(*(c.to_pylist() for c in batch.columns)):
+                        pipe.write(encode(key) + encode(value))
+
+        feeder = threading.Thread(target=feed)
+        feeder.start()
+        rows: list[tuple] = []
+        while True:
+            try:
+                rows.append((decode(process.stdout), decode(process.stdout)))
+            except EOFError:
+                break
+            if len(rows) >= 10_000:
+                yield batch_of(rows)
+                rows = []
+        feeder.join()
+        if process.wait():
+            raise RuntimeError(f"{command!r} ended with {process.returncode}")
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    return df.mapInArrow(run, schema)

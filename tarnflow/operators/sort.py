@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.functions.fields import partition_columns, sort_columns
+from tarnflow.functions.fields import byte_range, partition_columns, sort_columns
 from tarnflow.functions.sketches import running_total
 
 
@@ -31,14 +31,30 @@ def _search(key: Column, points: list, low: int, high: int) -> Column:
     return F.when(key < F.lit(points[middle]), _search(key, points, low, middle)).otherwise(_search(key, points, middle + 1, high))
 
 
-def split_points(df: DataFrame, key: str, parts: int, share: float = 0.01, seed: int = 1) -> list:
-    """Split points for ``parts`` ranges from a bounded sample of the keys."""
-    most = 100_000
-    keys = sorted(r[0] for r in df.select(key).filter(F.col(key).isNotNull()).sample(fraction=share, seed=seed).limit(most).collect())
+def split_points(df: DataFrame, key: str, parts: int, most: int = 100_000, seed: int = 1) -> list:
+    """Split points for ``parts`` ranges from a random sample of about ``most`` keys of
+    all partitions."""
+    rows = df.select(key).filter(F.col(key).isNotNull())
+    keys = sorted(r[0] for r in random_sample(rows, min(1.0, most / max(1, rows.count())), seed).collect())
     step = len(keys) / parts
     return list(dict.fromkeys(keys[round(step * k)] for k in range(1, parts) if round(step * k) < len(keys)))
 
 
+def random_sample(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Each row with the same chance, whatever its partition."""
+    return df.sample(fraction=share, seed=seed)
+
+
+def split_sample(df: DataFrame, each: int) -> DataFrame:
+    """The first ``each`` rows of every split."""
+    return df.filter(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) < each)
+
+
+def binary_partition(df: DataFrame, data: str, parts: int, left: int = 0, right: int = -1) -> DataFrame:
+    """``df`` dealt by a hash of a range of the key's bytes."""
+    return df.repartition(parts, byte_range(F.col(data), left, right))
+
+
 def interval_sample(df: DataFrame, order: str, every: int) -> DataFrame:
     """Every n-th row of a unique order, the first included."""
     placed = running_total(df.withColumn("__one", F.lit(1)), order, "__one")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.text import matches, tokens
 from tarnflow.plans.iterate import IterativeJob, Projection, Projector, Result
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, materialize
 
 # The share of its rank that a node passes on, and the rest.
 DAMPING, BASE = 0.8, 0.2
@@ -26,33 +26,44 @@ def grep(df: DataFrame, column: str, pattern: str, group: int = 0) -> DataFrame:
     return found.groupBy("match").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "match")
 
 
-def pagerank(edges: DataFrame, iterations: int, threshold: float | None = None) -> Result:
+def pagerank(edges: DataFrame, iterations: int, threshold: float | None = None, checkpoint_every: int = 1) -> Result:
     """Ranks of a link list ``src, dst`` (parallel links count): all sources start
-    at 1; a node's next rank is 0.2 + 0.8 x the shares of the nodes that link to it."""
+    at 1; a node's next rank is 0.2 + 0.8 x the shares of the nodes that link to it.
+    A step reads the state once, so several of them can share a job
+    (``checkpoint_every``)."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = edges.groupBy("src", "dst").agg(F.count("*").alias("links")).join(out, "src")
     static = links.select(F.col("src").alias("sk"), "dst", (F.lit(DAMPING) * F.col("links") / F.col("out")).alias("share"))
+    nodes = materialize(edges.select(F.explode(F.array("src", "dst")).alias("dk")).distinct(), "nodes")
 
     def step(paired: DataFrame, state: DataFrame) -> DataFrame:
         sums = paired.groupBy(F.col("dst").alias("dk")).agg(F.sum(F.col("dv") * F.col("share")).alias("s"))
-        return state.select("dk").join(sums, "dk", "full").select("dk", (F.lit(BASE) + F.coalesce("s", F.lit(0.0))).alias("dv"))
+        return nodes.join(sums, "dk", "left").select("dk", (F.lit(BASE) + F.coalesce("s", F.lit(0.0))).alias("dv"))
 
     first = edges.select(F.col("src").alias("dk")).distinct().withColumn("dv", F.lit(1.0))
-    return IterativeJob(static, first, Projector(F.col("sk")), step).run(iterations, threshold)
+    return IterativeJob(static, first, Projector(F.col("sk")), step).run(iterations, threshold, checkpoint_every)
 
 
 def sssp(edges: DataFrame, source: int, iterations: int, until_stable: bool = False) -> Result:
     """Distances ``dk, dv`` of nodes reached within so many relaxations of the
-    weighted links ``src, dst, w``."""
-    static = edges.groupBy("src", "dst").agg(F.min("w").alias("w")).select(F.col("src").alias("sk"), "dst", "w")
-
-    def step(paired: DataFrame, state: DataFrame) -> DataFrame:
-        offers = paired.select(F.col("dst").alias("dk"), (F.col("dv") + F.col("w")).alias("dv"))
-        return state.unionByName(offers).groupBy("dk").agg(F.min("dv").alias("dv"))
-
-    first = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("dk"), F.lit(0.0).alias("dv"))
-    changed = (~F.col("prev").eqNullSafe(F.col("curr"))).cast("double")
-    return IterativeJob(static, first, Projector(F.col("sk")), step, changed).run(iterations, 0.5 if until_stable else None)
+    weighted links ``src, dst, w``. Only nodes whose distance changed send offers."""
+    spark = edges.sparkSession
+    prepared = Projector(F.col("sk")).prepare(edges.groupBy("src", "dst").agg(F.min("w").alias("w")).select(F.col("src").alias("sk"), "dst", "w"))
+    state = materialize(spark.range(1).select(F.lit(source).cast("long").alias("dk"), F.lit(0.0).alias("dv"), F.lit(True).alias("fresh")), "state")
+    turn, left = 0, 1
+    try:
+        while turn < iterations and left:
+            turn += 1
+            changed = state.filter("fresh").select("dk", "dv")
+            offers = prepared.join(changed, "dk").groupBy(F.col("dst").alias("dk")).agg(F.min(F.col("dv") + F.col("w")).alias("o"))
+            better = F.col("o").isNotNull() & (F.col("dv").isNull() | (F.col("o") < F.col("dv")))
+            new = state.select("dk", "dv").join(offers, "dk", "full").select("dk", F.least("dv", "o").alias("dv"), better.alias("fresh"))
+            before, state = state, materialize(new, "state")
+            discard(before)
+            left = state.filter("fresh").count()
+    finally:
+        prepared.unpersist()
+    return Result(state.select("dk", "dv"), turn, float(left), not left)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -114,19 +125,32 @@ def apriori_words(text: Column, stop_text: str = STOP_TEXT) -> Column:
     return F.array_distinct(F.filter(cut, lambda w: F.instr(F.lit(stop_text), w) == 0))
 
 
+def _pairs_within(words: Column) -> Column:
+    """Each item of a sorted list of distinct items with itself and those before it."""
+    return F.flatten(F.transform(words, lambda x, k: F.transform(F.slice(words, F.lit(1), k + 1), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
 def apriori_pairs(records: DataFrame, column: str, support: int | None = None, stop_text: str = STOP_TEXT) -> DataFrame:
     """``pair, cnt``: a word with itself counts 1 a record, two words 2. With a
-    support only counts above it, and words that cannot reach it form no pairs."""
+    support only counts above it: words that cannot reach it form no pairs, and the
+    others are numbered, so that pairs of numbers are counted."""
+    counts = F.sum(F.when(F.col("x") == F.col("y"), 1).otherwise(2)).alias("cnt")
     rows = records.select(F.monotonically_increasing_id().alias("r"), apriori_words(F.col(column), stop_text).alias("words"))
-    if support is not None:
-        # a pair of n records counts 2 n at most, and each of its words is in n records
-        often = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") * 2 > support).select("w")
-        kept = materialize(rows.select("r", F.explode("words").alias("w")), "words").join(often, "w")
-        rows = kept.groupBy("r").agg(F.collect_list("w").alias("words"))
-    pairs = rows.select(F.explode("words").alias("x"), "words").select("x", F.explode("words").alias("y")).filter("x >= y")
-    counted = pairs.groupBy("x", "y").agg(F.sum(F.when(F.col("x") == F.col("y"), 1).otherwise(2)).alias("cnt"))
-    out = counted.select(F.concat_ws("&", "x", "y").alias("pair"), "cnt")
-    return out if support is None else out.filter(F.col("cnt") > support)
+    if support is None:
+        pairs = rows.select(F.inline(_pairs_within(F.array_sort("words"))))
+        return pairs.groupBy("x", "y").agg(counts).select(F.concat_ws("&", "x", "y").alias("pair"), "cnt")
+    # a pair of n records counts 2 n at most, and each of its words is in n records
+    each = materialize(rows.select("r", F.explode("words").alias("w")), "words")
+    often = materialize(each.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") * 2 > support).select("w", F.monotonically_increasing_id().alias("k")), "often")
+    numbered = each.join(often, "w").groupBy("r").agg(F.array_sort(F.collect_list("k")).alias("words"))
+    counted = numbered.select(F.inline(_pairs_within(F.col("words")))).groupBy("x", "y").agg(counts).filter(F.col("cnt") > support)
+    named = counted.join(often.select(F.col("k").alias("x"), F.col("w").alias("a")), "x").join(often.select(F.col("k").alias("y"), F.col("w").alias("b")), "y")
+    return named.select(F.concat_ws("&", F.greatest("a", "b"), F.least("a", "b")).alias("pair"), "cnt")
+
+
+def json_text(line: Column) -> Column:
+    """The field ``text`` of a JSON line; null where there is none."""
+    return F.get_json_object(line, "$.text")
 
 
 def radical_inverse(index: Column, base: int, digits: int = 40) -> Column:

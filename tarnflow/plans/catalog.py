@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnflow.plans import queries_dataflow, queries_graph, queries_incremental  # noqa: F401  they register themselves
+from tarnflow.plans import queries_dataflow, queries_graph, queries_incremental, queries_operators, queries_sources  # noqa: F401  they register themselves
 from tarnflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

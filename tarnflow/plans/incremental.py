@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.plans.algorithms import BASE, DAMPING
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, exists, materialize, numbered_folders
 
 
 def apply_delta(old: DataFrame, delta: DataFrame) -> DataFrame:
@@ -40,6 +40,32 @@ def signed(delta: DataFrame) -> DataFrame:
     return delta.withColumn("sign", F.when(F.col("op") == "+", 1).otherwise(-1))
 
 
+class PreservedStore:
+    """Map outputs and results of a fine-grain job in a folder, by version: they outlive
+    the session, and a later run updates them from there."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def versions(self) -> list[int]:
+        """The versions that are complete, in order."""
+        return [n for n in numbered_folders(self.spark, self.folder) if exists(self.spark, f"{self.folder}/{n}/done/_SUCCESS")]
+
+    def save(self, edges: DataFrame, result: DataFrame) -> int:
+        """The next version. Edges are dealt by key, and sorted, so that a reader of few
+        keys skips the rest; a version without its last mark does not count."""
+        number = max(self.versions(), default=-1) + 1
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        edges.repartition(n, "k2").sortWithinPartitions("k2").write.mode("overwrite").parquet(f"{self.folder}/{number}/edges")
+        result.write.mode("overwrite").parquet(f"{self.folder}/{number}/result")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/{number}/done")
+        return number
+
+    def load(self, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+        number = max(self.versions()) if number is None else number
+        return tuple(self.spark.read.parquet(f"{self.folder}/{number}/{name}") for name in ("edges", "result"))
+
+
 class FineGrain:
     """A preserved map output ``k2, sk, v2`` and its reduced result ``k2, v3``.
 
@@ -93,23 +119,57 @@ def incremental_pagerank(edges: DataFrame, ranks: DataFrame, delta: DataFrame, t
     change = before.select(F.col("dst").alias("node"), (-DAMPING * F.col("rank") * F.col("links") / F.col("old_out")).alias("c")).unionAll(
         after.select(F.col("dst").alias("node"), (DAMPING * F.col("sent") * F.col("links") / F.col("out")).alias("c"))
     )
-    for _ in range(iterations):
+    def received(state: DataFrame, change: DataFrame) -> DataFrame:
+        """The ranks with a change; those that moved enough are about to send it."""
         moved = change.groupBy("node").agg(F.sum("c").alias("c"))
-        state = materialize(state.join(moved, "node", "left").select("node", (F.col("rank") + F.coalesce("c", F.lit(0.0))).alias("rank"), "sent"), "ranks")
-        active = state.filter(F.abs(F.col("rank") - F.col("sent")) > threshold)
-        if active.isEmpty():
+        rank = (F.col("rank") + F.coalesce("c", F.lit(0.0))).alias("rank")
+        after = state.join(moved, "node", "left").select("node", rank, "sent")
+        return after.withColumn("active", F.abs(F.col("rank") - F.col("sent")) > threshold)
+
+    now = materialize(received(state, change), "ranks")
+    for _ in range(iterations):
+        if now.filter("active").isEmpty():
             break
-        sends = active.select(F.col("node").alias("src"), (F.col("rank") - F.col("sent")).alias("gap"))
-        change = materialize(weights.join(sends, "src").select(F.col("dst").alias("node"), (DAMPING * F.col("gap") * F.col("links") / F.col("out")).alias("c")), "change")
-        passed = F.abs(F.col("rank") - F.col("sent")) > threshold
-        state = state.withColumn("sent", F.when(passed, F.col("rank")).otherwise(F.col("sent")))
-    return state.select("node", "rank")
+        sends = now.filter("active").select(F.col("node").alias("src"), (F.col("rank") - F.col("sent")).alias("gap"))
+        change = weights.join(sends, "src").select(F.col("dst").alias("node"), (DAMPING * F.col("gap") * F.col("links") / F.col("out")).alias("c"))
+        told = now.select("node", "rank", F.when(F.col("active"), F.col("rank")).otherwise(F.col("sent")).alias("sent"))
+        before, now = now, materialize(received(told, change), "ranks")
+        discard(before)
+    return now.select("node", "rank")
 
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("out"))
 
 
+def incremental_gimv(matrix: DataFrame, vector: DataFrame, delta: DataFrame, threshold: float = 1e-12, iterations: int = 200) -> DataFrame:
+    """The fixpoint ``dk, dv`` of v = M v + b after a delta ``i, j, m, op`` of the entries
+    ``i, j, m``, from the old fixpoint ``dk, dv, b``; the rows of M sum to less than one.
+
+    Entries that changed change what their row gets at once; from then on only values
+    that moved by more than ``threshold`` since they were last sent travel.
+    """
+    names = ["i", "j", "m"]
+    now = materialize(apply_delta(matrix.select(*names), delta.select(*names, "op")), "matrix")
+    signs = signed(delta).select("i", "j", (F.col("m") * F.col("sign")).alias("m"))
+    first = signs.join(vector.select(F.col("dk").alias("j"), "dv"), "j").groupBy(F.col("i").alias("dk")).agg(F.sum(F.col("m") * F.col("dv")).alias("c"))
+
+    def received(state: DataFrame, change: DataFrame) -> DataFrame:
+        after = state.join(change, "dk", "left").select("dk", (F.col("dv") + F.coalesce("c", F.lit(0.0))).alias("dv"), "sent")
+        return after.withColumn("active", F.abs(F.col("dv") - F.col("sent")) > threshold)
+
+    state = materialize(received(vector.select("dk", "dv", F.col("dv").alias("sent")), first), "vector")
+    for _ in range(iterations):
+        if state.filter("active").isEmpty():
+            break
+        sends = state.filter("active").select(F.col("dk").alias("j"), (F.col("dv") - F.col("sent")).alias("gap"))
+        change = now.join(sends, "j").groupBy(F.col("i").alias("dk")).agg(F.sum(F.col("m") * F.col("gap")).alias("c"))
+        told = state.select("dk", "dv", F.when(F.col("active"), F.col("dv")).otherwise(F.col("sent")).alias("sent"))
+        before, state = state, materialize(received(told, change), "vector")
+        discard(before)
+    return state.select("dk", "dv")
+
+
 def incremental_sssp(edges: DataFrame, distances: DataFrame, delta: DataFrame, source: int, iterations: int = 1000) -> DataFrame:
     """Distances ``node, dist`` of reached nodes after an edge delta
     ``src, dst, w, op``; weights are positive.

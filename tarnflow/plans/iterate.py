@@ -39,7 +39,8 @@ class Projector:
         if self.kind is Projection.ONE2ALL:
             return static.persist(StorageLevel.MEMORY_AND_DISK)
         n = int(static.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return static.withColumn("dk", self.project).repartition(n, "dk").persist(StorageLevel.MEMORY_AND_DISK)
+        # by state key, and within it by static key
+        return static.withColumn("dk", self.project).repartition(n, "dk").sortWithinPartitions("dk", "sk").persist(StorageLevel.MEMORY_AND_DISK)
 
     def pair(self, prepared: DataFrame, state: DataFrame) -> DataFrame:
         """Static rows with their state; under ONE2ALL the whole state, which is one
@@ -112,6 +113,17 @@ def identity_map(paired: DataFrame) -> DataFrame:
     return paired.select(F.col("sk").alias("k"), F.col("dv").alias("v"))
 
 
+def identity_step(paired: DataFrame, state: DataFrame) -> DataFrame:
+    """The identity map and reduce of a step: the state as it was."""
+    return state.select("dk", "dv")
+
+
+def identity_easy_reduce(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """The reducer of an incremental step that changes nothing: rows of the new result,
+    and of the old one where there is no new one."""
+    return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
+
+
 def compare_states(a: DataFrame, b: DataFrame) -> DataFrame:
     """``n, total, mean, most, most_at`` of absolute differences by key ``dk``, and
     ``unmatched``, the keys in one of the two only."""

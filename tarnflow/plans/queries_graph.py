@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnflow.plans import algorithms, generators
 from tarnflow.plans.iterate import compare_states
 from tarnflow.plans.registry import register, table
+from tarnflow.storage import materialize
 
 EDGES = """SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_quantity AS w FROM lineitem
     WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice)"""
@@ -48,16 +49,24 @@ def pagerank_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algorithms.pagerank(part_edges(spark, sf_dir), 5).state.select(F.col("dk").alias("node"), F.round("dv", 6).alias("rank"))
 
 
-@register()
+def first_stable_sql(steps: int, threshold: float) -> str:
+    """The first of the unrolled ranks whose summed change is below a threshold."""
+    gaps = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.dv - coalesce(b.dv, 0))) AS gap FROM r{k} a LEFT JOIN r{k - 1} b ON a.dk = b.dk" for k in range(1, steps + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, dk, dv FROM r{k}" for k in range(1, steps + 1))
+    return f"gaps AS MATERIALIZED ({gaps}), stop AS (SELECT coalesce(min(k) FILTER (gap < {threshold}), {steps}) AS k FROM gaps), stable AS (SELECT dk, dv FROM ({ranks}) SEMI JOIN stop USING (k))"
+
+
+@register(f"WITH {EDGE_CTE}, {pagerank_sql(60)}, {first_stable_sql(60, 0.1)} SELECT dk AS node, round(dv, 6) AS rank FROM stable")
 def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks once the summed change is below a threshold."""
-    return algorithms.pagerank(part_edges(spark, sf_dir), 60, 0.1).state.select(F.col("dk").alias("node"), F.round("dv", 3).alias("rank"))
+    edges = materialize(part_edges(spark, sf_dir), "edges")
+    return algorithms.pagerank(edges, 60, 0.1).state.select(F.col("dk").alias("node"), F.round("dv", 6).alias("rank"))
 
 
 @register(f"WITH {EDGE_CTE}, {pagerank_sql(2)} SELECT count(*) AS n, round(sum(abs(a.dv - b.dv)), 4) AS total, round(max(abs(a.dv - b.dv)), 6) AS most, 0::BIGINT AS unmatched FROM r1 a JOIN r2 b ON a.dk = b.dk")
 def comp_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two successive states of the ranks compared."""
-    edges = part_edges(spark, sf_dir)
+    edges = materialize(part_edges(spark, sf_dir), "edges")
     out = compare_states(algorithms.pagerank(edges, 1).state, algorithms.pagerank(edges, 2).state)
     return out.select("n", F.round("total", 4).alias("total"), F.round("most", 6).alias("most"), "unmatched")
 

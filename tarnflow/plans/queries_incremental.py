@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tarnflow.plans import algorithms, generators, incremental
 from tarnflow.plans.queries_dataflow import WORDS
-from tarnflow.plans.queries_graph import EDGE_CTE, part_edges, sssp_sql
+from tarnflow.plans.queries_graph import EDGE_CTE, EDGES, pagerank_sql, part_edges, sssp_sql
 from tarnflow.plans.registry import register, table
+from tarnflow.storage import materialize
 
 CHOSEN = "({0} * 7919 + 13) % 100 < {1}"
 
@@ -59,13 +60,13 @@ def apriori_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algorithms.apriori_pairs(lines, "line", 40)
 
 
-@register(apriori_sql("text", "conversations", 3))
+@register(apriori_sql("text", "documents", 40))
 def apriori_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw counts of the turns of the users, with those of all others merged in;
-    only the output is filtered by the support."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("role").eqNullSafe("user").alias("old"), F.explode(F.split("text", "\n")).alias("line"))
-    old, new = (algorithms.apriori_pairs(turns.filter(F.col("old") == flag), "line") for flag in (True, False))
-    return incremental.accumulate(old, new, ["pair"], lambda a, b: a + b, keep=F.col("cnt") > 3, value="cnt")
+    """Raw counts of the documents of even id, with those of odd id merged in; only the
+    output is filtered by the support."""
+    lines = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("part"), F.explode(F.split("text", "\n")).alias("line"))
+    old, new = (algorithms.apriori_pairs(lines.filter(F.col("part") == k), "line") for k in (0, 1))
+    return incremental.accumulate(old, new, ["pair"], lambda a, b: a + b, keep=F.col("cnt") > 40, value="cnt")
 
 
 @register(
@@ -93,12 +94,16 @@ def edge_delta(edges: DataFrame, percent: int) -> DataFrame:
     return edges.filter(picked).select("src", F.explode(ops).alias("o")).select("src", "o.dst", "o.w", "o.op")
 
 
-@register()
+NOW = f"SELECT src, CASE WHEN {CHOSEN.format('src', 10)} THEN (dst * 31 + 7) % 1000 ELSE dst END AS dst, w FROM all_edges WHERE dst IS NOT NULL"
+
+
+@register(f"WITH all_edges AS MATERIALIZED ({EDGES}), edges AS MATERIALIZED ({NOW}), {pagerank_sql(100)} SELECT dk AS node, round(dv, 2) AS rank FROM r100")
 def incr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks after a tenth of the nodes changed their links, from converged ranks."""
-    edges = part_edges(spark, sf_dir)
-    ranks = algorithms.pagerank(edges, 30, 1.0).state.select(F.col("dk").alias("node"), F.col("dv").alias("rank"))
-    after = incremental.incremental_pagerank(edges, ranks, edge_delta(edges, 10), threshold=1e-3, iterations=30)
+    edges = materialize(part_edges(spark, sf_dir), "edges")
+    # 0.8 to the power of 100 is what is left of the first ranks
+    ranks = algorithms.pagerank(edges, 100, checkpoint_every=5).state.select(F.col("dk").alias("node"), F.col("dv").alias("rank"))
+    after = incremental.incremental_pagerank(edges, ranks, edge_delta(edges, 10), threshold=1e-8, iterations=200)
     return after.withColumn("rank", F.round("rank", 2))
 
 
@@ -108,6 +113,6 @@ def incr_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def incr_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances after a tenth of the nodes changed their links, from the old ones."""
-    edges = part_edges(spark, sf_dir)
+    edges = materialize(part_edges(spark, sf_dir), "edges")
     old = algorithms.sssp(edges, 0, 60, until_stable=True).state.select(F.col("dk").alias("node"), F.col("dv").alias("dist"))
     return incremental.incremental_sssp(edges, old, edge_delta(edges, 10), 0)

@@ -39,6 +39,28 @@ def read_int_key_value(spark: SparkSession, path: str, kind: str = "string", sep
     )
 
 
+def read_records_with_offsets(spark: SparkSession, path: str, separator: str = "\n", most_bytes: int | None = None) -> DataFrame:
+    """``file, offset, value, ended`` of the records that ``separator`` ends: the byte
+    place of each in its file, and whether the separator follows it.
+
+    Files are split as usual; a record's place is the bytes of the file's splits before
+    and of the records before it in its split. Records of more than ``most_bytes`` are
+    left out.
+    """
+    rows = spark.read.option("lineSep", separator).text(path).select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
+    )
+    gap = len(separator.encode("utf-8"))
+    rows = rows.withColumn("bytes", F.octet_length("value").cast("long") + gap)
+    totals = rows.groupBy("file", "block").agg(F.sum("bytes").alias("total"))
+    earlier = F.sum("total").over(Window.partitionBy("file").orderBy("block")) - F.col("total")  # a row for each split
+    inside = F.sum("bytes").over(Window.partitionBy("file", "block").orderBy("id")) - F.col("bytes")
+    placed = rows.withColumn("inside", inside).join(totals.select("file", "block", earlier.alias("earlier")), ["file", "block"])
+    offset = F.col("earlier") + F.col("inside")
+    out = placed.select("file", offset.alias("offset"), "value", (offset + F.col("bytes") <= F.col("size")).alias("ended"))
+    return out if most_bytes is None else out.filter(F.octet_length("value") <= most_bytes)
+
+
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line, value`` with line numbers from 0 within each file.
 
@@ -49,7 +71,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
     starts = counts.select("file", "block", "first", before.alias("before"))
-    return rows.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def read_n_lines(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
@@ -58,11 +80,13 @@ def read_n_lines(spark: SparkSession, path: str, n: int = 1) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str, begin: str, end: str) -> DataFrame:
-    """``value``: each stretch from a begin mark to the next end mark, both included."""
-    import re
+    """``value``: each stretch from a begin mark to the next end mark, both included.
 
-    pattern = f"(?s){re.escape(begin)}.*?{re.escape(end)}"
-    return read_lines(spark, path, whole=True).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("value"))
+    The end mark separates records, so files are split like lines, anywhere.
+    """
+    rows = read_records_with_offsets(spark, path, end).filter("ended")
+    at = F.instr("value", begin)
+    return rows.withColumn("at", at).filter("at > 0").select(F.concat(F.expr("substring(value, at)"), F.lit(end)).alias("value"))
 
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +94,16 @@ def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     return spark.sparkContext.sequenceFile(path).toDF(["key", "value"])
 
 
+BINARY_READER = "org.apache.hadoop.mapreduce.lib.input.SequenceFileAsBinaryInputFormat"
+BYTES_CLASS = "org.apache.hadoop.io.BytesWritable"
+
+
+def read_sequence_as_binary(spark: SparkSession, path: str) -> DataFrame:
+    """``key, value`` of a container as the bytes that were written, whatever their types."""
+    rows = spark.sparkContext.newAPIHadoopFile(path, BINARY_READER, BYTES_CLASS, BYTES_CLASS)
+    return spark.createDataFrame(rows.map(lambda kv: (bytes(kv[0]), bytes(kv[1]))), "key binary, value binary")
+
+
 def read_sequence_as_text(spark: SparkSession, path: str) -> DataFrame:
     return read_sequence(spark, path).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 

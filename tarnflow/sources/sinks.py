@@ -30,6 +30,31 @@ def write_sequence(df: DataFrame, path: str) -> None:
     df.rdd.map(tuple).saveAsSequenceFile(path)
 
 
+BINARY_WRITER = "org.apache.hadoop.mapreduce.lib.output.SequenceFileAsBinaryOutputFormat"
+BYTES_CLASS = "org.apache.hadoop.io.BytesWritable"
+
+
+def write_sequence_as_binary(df: DataFrame, path: str, key_class: str, value_class: str) -> None:
+    """A container whose keys and values are the given bytes, declared as two types."""
+    prefix = "mapreduce.output.seqbinaryoutputformat"
+    conf = {f"{prefix}.key.class": key_class, f"{prefix}.value.class": value_class}
+    rows = df.rdd.map(lambda r: (bytearray(r[0]), bytearray(r[1])))
+    rows.saveAsNewAPIHadoopFile(path, BINARY_WRITER, BYTES_CLASS, BYTES_CLASS, conf=conf)
+
+
+def write_set_file(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """The distinct keys alone, in order."""
+    write_map_file(df.select(key).distinct(), path, key, parts)
+
+
+def write_array_file(df: DataFrame, path: str, order: str, parts: int) -> None:
+    """Rows by their ``index`` from 0 on in a unique order, for reads by place."""
+    from tarnflow.functions.sketches import running_total
+
+    placed = running_total(df.withColumn("__one", F.lit(1)), order, "__one")
+    write_map_file(placed.withColumn("index", (F.col("running") - 1).cast("long")).drop("__one", "running"), path, "index", parts)
+
+
 def write_map_file(df: DataFrame, path: str, key: str, parts: int) -> None:
     """Sorted by key within parts, so that readers skip row groups on a lookup."""
     df.repartition(parts, key).sortWithinPartitions(key).write.mode("errorifexists").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)

@@ -86,21 +86,25 @@ def pairs(raw: bytes) -> Iterator[tuple]:
         yield key, decode(stream)
 
 
-def read_typed_bytes(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The pairs of every file under ``path``, as ``schema`` (two columns)."""
+def decode_pairs(df: DataFrame, schema: str) -> DataFrame:
+    """The pairs in each row of a binary column, as ``schema`` (two columns)."""
     from tarnflow.sources.arrow import arrow_schema
 
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                rows = list(pairs(raw))
-                if rows:
-                    columns = [pa.array([list(x) if isinstance(x, tuple) else x for x in c], type=f.type) for c, f in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+            rows = [pair for raw in batch.column(0).to_pylist() for pair in pairs(raw)]
+            if rows:
+                columns = [pa.array([list(x) if isinstance(x, tuple) else x for x in c], type=f.type) for c, f in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    return df.mapInArrow(run, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+def read_typed_bytes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The pairs of every file under ``path``, as ``schema`` (two columns)."""
+    return decode_pairs(spark.read.format("binaryFile").load(path).select("content"), schema)
 
 
 def encode_pairs(df: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_order_checks(spark):
 
 def test_samples_and_points(spark):
     frame = spark.range(1000)
-    points = sort.split_points(frame, "id", 4, share=1.0)
+    points = sort.split_points(frame, "id", 4)
     assert points == [250, 500, 750]
     assert sorted(r.id for r in sort.interval_sample(frame, "id", 300).collect()) == [0, 300, 600, 900]
     placed = sketches.running_total(frame.withColumn("one", F.lit(2)), "id", "one").collect()
@@ -128,3 +128,24 @@ def test_index_operations(spark):
     assert {r.doc_id for r in after.collect()} == {"d1", "d2", "d9"}
     assert index.route_operations(parsed, 3).select("shard").distinct().count() <= 3
     assert index.route_operations(parsed, 3, round_robin=True).filter("op = 'delete'").count() == 6
+
+
+def test_pipe_pairs_fails_with_its_command(spark):
+    frame = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int").coalesce(1)
+    assert sorted(map(tuple, pipe.pipe_pairs(frame, "cat", "k string, v int").collect())) == [("a", 1), ("b", 2)]
+    with pytest.raises(Exception, match="ended with 3"):
+        pipe.pipe_pairs(frame, "cat > /dev/null; exit 3", "k string, v int").collect()
+
+
+def test_aggregate_lines_of_another_form(spark):
+    lines = spark.createDataFrame([("LongValueSum:a:b\t2",), ("LongValueSum:a:b\t3",), ("ValueHistogram:h\tx",)], "value string")
+    assert {(r.type, r.id): r.result.split("\t")[0] for r in aggregate.aggregate_lines(lines).collect()} == {("LongValueSum", "a:b"): "5", ("ValueHistogram", "h"): "1"}
+    with pytest.raises(Exception, match="not an aggregate"):
+        aggregate.aggregate_lines(spark.createDataFrame([("Nope:a\t1",)], "value string")).collect()
+
+
+def test_buckets_are_merged(spark):
+    rows = spark.createDataFrame([(f"2024-01-01 00:0{k}:30", k) for k in range(10)], "t string, v int").withColumn("t", F.col("t").cast("timestamp"))
+    parts = [aggregate.bucket_totals(rows.filter(F.col("v") % 3 == k), "t", F.col("v"), 60) for k in range(3)]
+    out = aggregate.bucketed_stats(aggregate.merge_buckets(*parts), 60, {"last_three": 180, "last": 60}).first()
+    assert tuple(out) == (45, 24, 9)

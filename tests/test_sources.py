@@ -144,3 +144,29 @@ def test_typed_bytes(spark, tmp_path):
     (tmp_path / "data" / "x.tb").write_bytes(b"".join(bytes(r.content) for r in typed_bytes.encode_pairs(frame).collect()))
     got = typed_bytes.read_typed_bytes(spark, f"{tmp_path}/data", "key string, value array<long>")
     assert [(r.key, r.value) for r in got.collect()] == rows
+
+
+def test_offsets_and_xml_over_small_splits(spark, tmp_path):
+    """Places and records do not depend on where files are split."""
+    text = "".join(f"<r>{'é' * (k % 7)}{k}\n</r>{'-' * (k % 5)}" for k in range(60)) + "<r>not ended"
+    lines = [f"line {k} {'ü' * (k % 9)}" for k in range(80)]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "t").mkdir()
+    (tmp_path / "x" / "a.xml").write_text(text)
+    (tmp_path / "t" / "a.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        found = sorted(r.value for r in files.read_xml(spark, f"{tmp_path}/x", "<r>", "</r>").collect())
+        rows = files.read_records_with_offsets(spark, f"{tmp_path}/t").collect()
+        short = files.read_records_with_offsets(spark, f"{tmp_path}/t", most_bytes=10).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == sorted(f"<r>{'é' * (k % 7)}{k}\n</r>" for k in range(60))
+    raw = "\n".join(lines).encode()
+    assert len(rows) == 80 and all(raw[r.offset : r.offset + len(r.value.encode())].decode() == r.value for r in rows)
+    assert [r.value for r in rows if not r.ended] == [lines[-1]]
+    assert short == sum(len(x.encode()) <= 10 for x in lines)
+
+
+def test_own_queries_of_databases():
+    assert database.page_query("t", ["a"], None, "a", 10, 20, "fetch") == "SELECT a FROM t AS t ORDER BY a OFFSET 20 ROWS FETCH NEXT 10 ROWS ONLY"
