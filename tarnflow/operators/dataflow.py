@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -48,6 +50,23 @@ def reduce_groups(df: DataFrame, group: list[str], work: Callable, schema: str)
     return df.groupBy(*group).applyInPandas(work, schema)
 
 
+def threaded_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, threads: int = 4) -> DataFrame:
+    """A mapper that waits much (on a service, say): each task works on so many batches
+    at a time, and hands them on in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(threads) as pool:
+            waiting: deque[Future] = deque()
+            for batch in batches:
+                waiting.append(pool.submit(work, batch))
+                if len(waiting) >= threads:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+
+    return df.mapInArrow(run, schema)
+
+
 class Counters:
     """Named counters of a frame, merged over all tasks when it runs."""
 

@@ -92,9 +92,8 @@ def kmeans(points: DataFrame, centers: DataFrame, iterations: int, threshold: fl
 
 
 def assign_clusters(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """``sk, center`` of every point."""
-    whole = centers.agg(F.array_sort(F.collect_list(F.struct("dk", "dv"))).alias("state"))
-    return points.crossJoin(F.broadcast(whole)).select("sk", nearest(F.col("sv"), F.col("state")).alias("center"))  # one row
+    """``sk, center`` of every point; the centers are few (the projection checks that)."""
+    return Projector(kind=Projection.ONE2ALL).pair(points, centers).select("sk", nearest(F.col("sv"), F.col("state")).alias("center"))
 
 
 def gimv(matrix: DataFrame, vector: DataFrame, iterations: int, combine2: Column | None = None, combine_all=F.sum, assign: Column | None = None) -> DataFrame:

@@ -27,6 +27,10 @@ class Projection(Enum):
     ONE2ALL = "every static key needs the whole state"
 
 
+#: Rows of a state that goes to every task whole, at most.
+MOST_STATE = 1_000_000
+
+
 @dataclass
 class Projector:
     """From static rows to the key ``dk`` of the state that they need."""
@@ -44,8 +48,11 @@ class Projector:
 
     def pair(self, prepared: DataFrame, state: DataFrame) -> DataFrame:
         """Static rows with their state; under ONE2ALL the whole state, which is one
-        list of bounded size, goes to every task."""
+        list, goes to every task; it may have ``MOST_STATE`` rows at most."""
         if self.kind is Projection.ONE2ALL:
+            rows = state.count()
+            if rows > MOST_STATE:
+                raise ValueError(f"a state of {rows} rows is too large for every task; use another projection")
             whole = state.agg(F.array_sort(F.collect_list(F.struct("dk", "dv"))).alias("state"))
             return prepared.crossJoin(F.broadcast(whole))  # one row
         return prepared.join(state, "dk")

@@ -191,11 +191,12 @@ def tera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").cast("int").alias("n"), F.count_distinct("key", "value").cast("int").alias("keys"), length("key").alias("key_length"), length("value").alias("value_length"))
 
 
-@register("SELECT CAST(c_custkey AS BIGINT) AS key, [c_name, c_mktsegment] AS value FROM customer")
+@register("SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name, c_mktsegment AS segment FROM customer")
 def typed_bytes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs as self-describing bytes and back."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.array("c_name", "c_mktsegment").alias("value"))
-    return typed_bytes.decode_pairs(typed_bytes.encode_pairs(rows), "key long, value array<string>")
+    decoded = typed_bytes.decode_pairs(typed_bytes.encode_pairs(rows), "key long, value array<string>")
+    return decoded.select("key", F.col("value")[0].alias("name"), F.col("value")[1].alias("segment"))
 
 
 DEFINITIONS = """
