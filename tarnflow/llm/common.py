@@ -78,7 +78,7 @@ def to_batch(columns: dict[str, list], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in kinds], schema=kinds)
 
 
-def keep_rows(docs: DataFrame, verdicts: Callable[[list, list[str]], list[bool]]) -> DataFrame:
+def keep_rows(docs: DataFrame, verdicts: Callable[[list, list[str]], list[bool]], most: int = BATCH_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose verdict is true."""
     names = docs.columns
     at = names.index("doc_id"), names.index("text")
@@ -87,7 +87,7 @@ def keep_rows(docs: DataFrame, verdicts: Callable[[list, list[str]], list[bool]]
         for batch in batches:
             two = pa.RecordBatch.from_arrays([batch.column(at[0]), batch.column(at[1])], names=["doc_id", "text"])
             kept: list[bool] = []
-            for ids, texts in parts(two):
+            for ids, texts in parts(two, most):
                 kept += verdicts(ids, texts)
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 

@@ -27,6 +27,8 @@ from tarnflow.llm.common import keep_rows, map_texts, parts, remainder, remainde
 from tarnflow.storage import materialize
 
 UND = "und"
+#: Characters that are scored or counted together: their n-grams stay in the cache.
+PIECE_CHARS = 250_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -91,7 +93,10 @@ def predict(models: list[Model], texts: list[str]) -> tuple[list[str], list[floa
     s = models[0].settings
     bucket, owner = buckets_of(texts, s)
     # sparse rows (text, bucket, count) times the matrices
-    cell, count = np.unique(owner.astype(np.int64) * s.buckets + bucket, return_counts=True)
+    kind = np.int32 if len(texts) * s.buckets < 1 << 31 else np.int64
+    cell = np.sort(owner.astype(kind) * kind(s.buckets) + bucket)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    count, cell = np.diff(np.r_[first, len(cell)]), cell[first]
     row, column = cell // s.buckets, cell % s.buckets
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     total = np.zeros((len(texts), len(every)))
@@ -126,12 +131,10 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> list[Model]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             renamed = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "text"])
-            for langs, texts in parts(renamed):
+            for langs, texts in parts(renamed, PIECE_CHARS):
                 bucket, owner = buckets_of(texts, s)
-                lang = np.fromiter((place.get(x, -1) for x in langs), dtype=np.int64, count=len(langs))[owner]
-                known = lang >= 0
-                present, which = np.unique(lang[known], return_inverse=True)
-                cells = np.bincount(which * s.buckets + bucket[known], minlength=len(present) * s.buckets).astype(np.int64)
+                present, which = np.unique(np.array([place[x] for x in langs]), return_inverse=True)
+                cells = np.bincount(which[owner] * s.buckets + bucket, minlength=len(present) * s.buckets)
                 for k, part in zip(present.tolist(), cells.reshape(-1, s.buckets)):
                     if k in seen:
                         seen[k] += part
@@ -171,7 +174,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         names, scores, _ = predict([model.value for model in models], texts)
         return {"doc_id": ids, "held_out": [remainder(k, 4) == 2 for k in ids], "lang_pred": names, "score": scores}
 
-    return map_texts(docs, work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(docs, work, "doc_id long, held_out boolean, lang_pred string, score double", PIECE_CHARS)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
@@ -182,4 +185,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Se
         names, _, scores = predict([model.value for model in models], texts)
         return [name != UND and score >= least for name, score in zip(names, scores)]
 
-    return keep_rows(docs, verdicts)
+    return keep_rows(docs, verdicts, PIECE_CHARS)
