@@ -229,14 +229,15 @@ def matches_of(words: list[str], notice: Notice, least: float) -> Iterator[Match
             if found and low >= found.end:
                 break
             match = match_in(words, notice, low, high, least)
-            if match and match.end - match.start > len(notice.words) and len(notice.words) < LONG:
+            if not match or (found and match.matched <= found.matched):
+                continue
+            if match.end - match.start > len(notice.words) and len(notice.words) < LONG:
                 match = tightest(words, notice, match, least)
-            if match and found and match.start >= found.end:
+            if found and match.start >= found.end:
+                break
+            found = match
+            if match.matched == len(notice.words):
                 break
-            if match and (not found or match.matched > found.matched):
-                found = match
-                if match.matched == len(notice.words):
-                    break
         if not found:
             return
         yield found
