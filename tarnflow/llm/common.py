@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# batches go back to the system when they are read, not into a pool of the worker's
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Code points of text that one step of vectorised work takes at most, unless a
 #: single text is longer.
 BATCH_CHARS = 1_000_000

@@ -58,8 +58,8 @@ from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts,
 from tarnflow.llm.components import connected_components
 from tarnflow.storage import discard, materialize
 
-#: Distinct words (and classes) that a worker remembers; then it starts anew.
-CACHE = 200_000
+#: Distinct words, and classes, that a worker remembers; then it starts anew.
+WORD_CACHE, CACHE = 1 << 16, 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 #: Bits of a shingle within its range; the number of the range stands above them.
@@ -85,10 +85,10 @@ class Settings:
     #: Such shingles at most, the most frequent; all others are counted exactly.
     frequent: int = 1 << 18
     #: Shingles that one task counts, about.
-    range_size: int = 1_500_000
+    range_size: int = 750_000
     least_ranges: int = 8
     #: Characters of the texts that one batch of pieces holds, about.
-    batch_chars: int = 4_000_000
+    batch_chars: int = 2_000_000
     #: Vertical fragments of the global order.
     fragments: int = 8
     #: Documents of one part of a frequent shingle's run, and of one block of any run.
@@ -103,7 +103,7 @@ class Settings:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
+        if len(self) >= WORD_CACHE:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -151,6 +151,7 @@ def repeated_passages(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFram
     bitmap = spark.sparkContext.broadcast(bits.view(np.uint64))
     discard(twice)
     seen = materialize(_passage_rows(docs, s, bitmap), "passages")
+    bitmap.unpersist()
     document = F.struct("id", "mark")
     equal = seen.groupBy("h1", "h2", "passage").agg(F.count("*").alias("copies"), F.min(document).alias("first"))
     alone = equal.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("copies").alias("copies"), F.min("first").alias("first"))

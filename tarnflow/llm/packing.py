@@ -29,7 +29,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +59,9 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=2)
-def library(path: str) -> tokenizers.Tokenizer:
+def library(path: str):
+    import tokenizers  # few texts need it
+
     tokenizer = tokenizers.Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
