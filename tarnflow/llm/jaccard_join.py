@@ -90,7 +90,7 @@ class Settings:
     #: Characters of the texts that one batch of pieces holds, about.
     batch_chars: int = 2_000_000
     #: Vertical fragments of the global order.
-    fragments: int = 8
+    fragments: int = 4
     #: Documents of one part of a frequent shingle's run, and of one block of any run.
     part: int = 1024
     block: int = 512
