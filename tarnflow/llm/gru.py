@@ -43,8 +43,8 @@ class Shape:
 
 Weights = dict[str, np.ndarray]
 
-#: Rows of a block of logits.
-ROWS = 2048
+#: Rows of a block of logits, and of a run that is added up on its own.
+ROWS, LONG_RUN = 2048, 32
 
 
 def initial(shape: Shape, counts: np.ndarray, seed: int = 1) -> Weights:
@@ -150,23 +150,48 @@ def chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return value - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
 
 
+def by_value(ids: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers; those of 16 bits are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+
+
 def by_class(targets: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """The class of each target, and the rows of each class but the last."""
     group = targets // shape.class_size
     group[targets >= shape.vocabulary] = shape.classes
-    order = np.argsort(group, kind="stable")
+    order = by_value(group)
     found, start = np.unique(group[order], return_index=True)
     return group, [(int(g), rows) for g, rows in zip(found, np.split(order, start[1:])) if g < shape.classes]
 
 
+def apart(x: np.ndarray, size: int) -> np.ndarray:
+    """The columns of both gates and of the candidate as three matrices, each in one piece."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, size).transpose(1, 0, 2))
+
+
+def cell(recur: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the gated cell: update and reset gates, candidate, new state.
+    ``recur`` and ``x``, which is overwritten, are :func:`apart`."""
+    a = np.matmul(h, recur)
+    gates = x[:2]
+    gates += a[:2]
+    gates *= np.float32(0.5)
+    np.tanh(gates, out=gates)
+    gates *= np.float32(0.5)
+    gates += np.float32(0.5)
+    z, r, inner = gates[0], gates[1], a[2]
+    c = r * inner
+    c += x[2]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= z
+    new += c
+    return z, r, inner, c, new
+
+
 def step(w: Weights, h: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """One step of the gated cell: update and reset gates, candidate, new state."""
-    a = h @ w["recur"]
-    gates = np.tanh((x[:, : 2 * size] + a[:, : 2 * size]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-    z, r = gates[:, :size], gates[:, size:]
-    inner = a[:, 2 * size :]
-    c = np.tanh(x[:, 2 * size :] + r * inner)
-    return z, r, inner, c, c + z * (h - c)
+    """:func:`cell` for a matrix ``x`` with all columns."""
+    return cell(apart(w["recur"], size), h, apart(x, size))
 
 
 def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 512, window: int = 64) -> np.ndarray:
@@ -178,6 +203,7 @@ def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 51
     sizes = [len(d) + 1 for d in docs]
     lanes = lanes_of(docs, max(1, min(most_lanes, sum(sizes) // max(sizes))))
     total = np.zeros(len(docs))
+    of_input, recur = apart(w["inputs"], shape.hidden), apart(w["recur"], shape.hidden)
     h = np.zeros((lanes.targets.shape[1], shape.hidden), dtype=np.float32)
     for low in range(0, len(lanes.active), window):
         high = min(low + window, len(lanes.active))
@@ -187,7 +213,7 @@ def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 51
             now = h[:n]
             if lanes.starts[t, :n].any():
                 now = np.where(lanes.starts[t, :n, None], np.float32(0), now)
-            h = step(w, now, w["inputs"][lanes.inputs[t, :n]], shape.hidden)[-1]
+            h = cell(recur, now, of_input.take(lanes.inputs[t, :n], axis=1))[-1]
             states.append(h)
             targets.append(lanes.targets[t, :n])
             owner.append(lanes.owner[t, :n])
@@ -201,6 +227,24 @@ def score(w: Weights, docs: list[np.ndarray], shape: Shape, most_lanes: int = 51
     return total
 
 
+def sum_of(x: np.ndarray) -> np.ndarray:
+    """The sum of all rows."""
+    return np.ones(len(x), dtype=x.dtype) @ x
+
+
+def sums_of(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each run, from its ``first`` row to the next run's."""
+    size = np.diff(np.r_[first, len(x)])
+    total = np.empty((len(first), x.shape[1]), dtype=x.dtype)
+    long = size >= LONG_RUN
+    for k in np.flatnonzero(long).tolist():
+        total[k] = sum_of(x[first[k] : first[k] + size[k]])
+    if not long.all():
+        short, sizes = x[np.repeat(~long, size)], size[~long]
+        total[~long] = np.add.reduceat(short, np.cumsum(sizes) - sizes, axis=0)
+    return total
+
+
 def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: list, shape: Shape) -> tuple[float, dict, np.ndarray]:
     """Loss and gradients of one window from the carried state ``h``.
 
@@ -208,14 +252,16 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
     active lanes, which never grow. The gradient of ``inputs`` is (rows, values).
     """
     size = shape.hidden
-    trace = []
+    of_input, recur = apart(w["inputs"], size), apart(w["recur"], size)
+    trace, states = [], []
     for ids, start in zip(inputs, starts):
         h = np.where(start[:, None], np.float32(0), h[: len(ids)])
-        z, r, inner, c, new = step(w, h, w["inputs"][ids], size)
+        z, r, inner, c, new = cell(recur, h, of_input.take(ids, axis=1))
         trace.append((h, z, r, inner, c))
+        states.append(new)
         h = new
     ends = np.cumsum([len(x) for x in inputs])
-    hs = np.concatenate([t[4] + t[1] * (t[0] - t[4]) for t in trace])
+    hs = np.concatenate(states)
     target = np.concatenate(targets)
     group, rows_of = by_class(target, shape)
     n = len(hs)
@@ -227,7 +273,7 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
         loss -= logp.sum(dtype=np.float64)
         d_class[np.arange(len(at)), at] -= 1
         grad["to_class"] += mine.T @ d_class
-        grad["class_bias"] += d_class.sum(axis=0)
+        grad["class_bias"] += sum_of(d_class)
         np.matmul(d_class, w["to_class"].T, out=dh[low : low + ROWS])
     for g, rows in rows_of:
         part = slice(g * shape.class_size, (g + 1) * shape.class_size)
@@ -235,36 +281,40 @@ def gradients(w: Weights, h: np.ndarray, inputs: list, targets: list, starts: li
         logp, d_word = picked(mine @ w["to_word"][part].T + w["word_bias"][part], at)
         loss -= logp.sum(dtype=np.float64)
         d_word[np.arange(len(rows)), at] -= 1
-        grad["to_word"][g], grad["word_bias"][g] = d_word.T @ mine, d_word.sum(axis=0)
+        grad["to_word"][g], grad["word_bias"][g] = d_word.T @ mine, sum_of(d_word)
         dh[rows] += d_word @ w["to_word"][part]
     d_next = np.zeros((len(inputs[-1]), size), dtype=np.float32)
-    d_recur = np.zeros_like(w["recur"])
-    d_inputs = np.empty((n, 3 * size), dtype=np.float32)
+    d_recur, back = np.zeros_like(recur), np.ascontiguousarray(recur.transpose(0, 2, 1))
+    d_inputs = np.empty((n, 3, size), dtype=np.float32)
     for t in range(len(inputs) - 1, -1, -1):
         before, z, r, inner, c = trace[t]
         low, high = ends[t] - len(before), ends[t]
         d = dh[low:high]
         d[: len(d_next)] += d_next
-        rest = 1 - z
-        dc = d * rest
-        dz = dc * z
+        da = np.empty((3, len(d), size), dtype=dh.dtype)
+        dz, dr, dc = da
+        d_next = d * z
+        np.subtract(d, d_next, out=dc)
+        np.multiply(dc, z, out=dz)
         dz *= before - c
-        dc *= 1 - c * c
-        part = d_inputs[low:high]
-        part[:, :size], part[:, 2 * size :] = dz, dc
-        inner *= dc
-        inner *= r - r * r
-        part[:, size : 2 * size] = inner
-        da = part.copy()
-        da[:, 2 * size :] *= r
-        d_recur += before.T @ da
-        d_next = d * z + da @ w["recur"].T
+        c *= c
+        np.subtract(1, c, out=c)
+        dc *= c
+        np.multiply(inner, dc, out=dr)
+        dr *= r
+        d_inputs[low:high, 2] = dc
+        dc *= r
+        np.subtract(1, r, out=r)
+        dr *= r
+        d_inputs[low:high, :2] = da[:2].transpose(1, 0, 2)
+        d_recur += np.matmul(before.T, da)
+        d_next += np.matmul(da, back).sum(axis=0)
         d_next[starts[t]] = 0
-    grad["recur"] = d_recur
+    grad["recur"] = d_recur.transpose(1, 0, 2).reshape(size, 3 * size)
     ids = np.concatenate(inputs)
-    order = np.argsort(ids, kind="stable")
+    order = by_value(ids)
     rows, first = np.unique(ids[order], return_index=True)
-    grad["inputs"] = rows, np.add.reduceat(d_inputs[order], first, axis=0)
+    grad["inputs"] = rows, sums_of(d_inputs.reshape(n, 3 * size)[order], first)
     return loss, grad, h
 
 
@@ -280,8 +330,25 @@ class Trainer:
         norm = np.sqrt((grad * grad).sum())
         if norm > 5:
             grad = grad * (5 / norm)
-        self.square[name][at] += grad * grad
-        self.w[name][at] -= self.rate * grad / np.sqrt(self.square[name][at])
+        square = self.square[name][at] + grad * grad
+        self.square[name][at] = square
+        self.w[name][at] -= self.rate * grad / np.sqrt(square)
+
+    def update_classes(self, name: str, grads: dict[int, np.ndarray], scale: np.float32) -> None:
+        """:meth:`update` of the rows of each class, all at once."""
+        at, grad = np.array(list(grads)), np.stack(list(grads.values())) * scale
+        square, w = (x[name].reshape(-1, self.shape.class_size, *grad.shape[2:]) for x in (self.square, self.w))
+        power = grad * grad
+        norm = np.sqrt(power.reshape(len(at), -1).sum(axis=1))
+        shrink = (np.float32(5) / np.maximum(norm, np.float32(5))).reshape(-1, *[1] * (grad.ndim - 1))
+        grad *= shrink
+        power *= shrink * shrink
+        power += square[at]
+        square[at] = power
+        np.sqrt(power, out=power)
+        grad *= np.float32(self.rate)
+        grad /= power
+        w[at] -= grad
 
     def learn(self, docs: list[np.ndarray]) -> None:
         """One pass over all words of the documents. Long ones are cut into stretches
@@ -298,9 +365,8 @@ class Trainer:
             for name in ("recur", "to_class", "class_bias"):
                 self.update(name, slice(None), grad[name] * scale)
             self.update("inputs", grad["inputs"][0], grad["inputs"][1] * scale)
-            for g in grad["to_word"]:
-                part = slice(g * self.shape.class_size, (g + 1) * self.shape.class_size)
-                self.update("to_word", part, grad["to_word"][g] * scale)
-                self.update("word_bias", part, grad["word_bias"][g] * scale)
+            if grad["to_word"]:
+                for name in ("to_word", "word_bias"):
+                    self.update_classes(name, grad[name], scale)
             self.tokens += n
             self.loss += loss

@@ -103,9 +103,11 @@ class Model:
     rest_distinct: int
     ends: int
     place: dict[bytes, int] | None = None
+    #: The same of the network's words alone, as its ids.
+    own: dict[bytes, int] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None}  # rebuilt by each worker
+        return self.__dict__ | {"place": None, "own": None}  # rebuilt by each worker
 
     def lookup(self) -> dict[bytes, int]:
         if self.place is None:
@@ -116,6 +118,13 @@ class Model:
         """The place of each word in the head, or -1."""
         return np.fromiter(map(self.lookup().get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        """The network's id of each word, without its place in the whole head."""
+        last = self.settings.shape.vocabulary
+        if self.own is None:
+            self.own = {word: k for k, word in enumerate(self.head[: last - 1], 1)}
+        return np.fromiter(map(self.own.get, words, repeat(last)), dtype=np.int32, count=len(words))
+
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         """The network's id of each word: 1 and on, or that of all others."""
         last = self.settings.shape.vocabulary
@@ -156,7 +165,7 @@ def train(docs: DataFrame, model: Model) -> gru.Weights:
             for batch in batches:
                 for _, texts in parts(batch, s.batch_chars):
                     trainer = trainer or gru.Trainer(model.weights, shape)
-                    trainer.learn([model.ids(model.ranks(words_of(text))) for text in texts])
+                    trainer.learn([model.ids_of(words_of(text)) for text in texts])
             if trainer:
                 yield to_batch({"tokens": [float(trainer.tokens)], "w": [gru.pack(trainer.w, shape)]}, kinds)
 
@@ -194,29 +203,37 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     kinds = arrow_schema(docs.sparkSession, schema)
     known = s.shape.vocabulary - 1
 
+    def table(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         logs = np.log10(model.counts + 1.0)
         end = np.log10(model.ends + 1.0)
         for batch in batches:
             for ids, texts in parts(batch, s.batch_chars):
-                network, rows, others = [], [], []
-                for doc_id, text in zip(ids, texts):
+                sizes, ranks, missing, times, distinct = [], [], [], [], []
+                for text in texts:
                     words = words_of(text)
                     at = model.ranks(words)
-                    network.append(model.ids(at))
-                    text_hash = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    found = at[at >= 0]
-                    base = logs[found].sum() + end - (len(found) + 1) * base_log
-                    rest = found[found >= known]
-                    rows.append([doc_id, text_hash, None, None, len(words) + 1, len(found) + (model.ends > 0), base, logs[rest].sum() - len(rest) * rest_log])
-                    if len(found) < len(words):
-                        missing = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
-                        others += [(doc_id, text_hash, word, n, None, None, None, None) for word, n in missing.items()]
-                logp = gru.score(model.weights, network, s.shape) / np.log(10)
-                for row, value in zip(rows, logp.tolist()):
-                    row[7] += value
-                yield to_batch(dict(zip(kinds.names, map(list, zip(*rows, *others)))), kinds)
+                    others = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
+                    sizes.append(len(words))
+                    ranks.append(at)
+                    missing += others
+                    times += others.values()
+                    distinct.append(len(others))
+                at = np.concatenate(ranks)
+                network = np.split(model.ids(at), np.cumsum(sizes)[:-1])
+                owner = np.repeat(np.arange(len(texts)), sizes)
+                sums = lambda chosen: (np.bincount(owner[chosen], minlength=len(texts)), np.bincount(owner[chosen], logs[at[chosen]], len(texts)))
+                (found, base), (rest, rest_logs) = sums(at >= 0), sums(at >= known)
+                scores = gru.score(model.weights, network, s.shape) / np.log(10) + rest_logs - rest * rest_log
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(text) - (1 << 63) for text in texts), dtype=np.int64, count=len(texts))
+                numbers = pa.array(ids, type=pa.int64()), pa.array(hashes)
+                yield table(len(texts), doc_id=numbers[0], text_hash=numbers[1], n_tokens=np.array(sizes) + 1, n_known=found + (model.ends > 0), base=base + end - (found + 1) * base_log, score=scores)
+                if missing:
+                    of = pa.array(np.repeat(np.arange(len(texts)), distinct))
+                    yield table(len(missing), doc_id=numbers[0].take(of), text_hash=numbers[1].take(of), word=missing, tf=times)
 
     scored = materialize(id_and_text(docs).mapInArrow(run, schema), "scores")
     tail = scored.filter("word IS NOT NULL").select("doc_id", "text_hash", "word", "tf").join(rare, "word", "left")

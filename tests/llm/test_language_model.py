@@ -137,3 +137,49 @@ def test_probabilities_sum_to_one(spark):
     assert inside == pytest.approx(1)
     assert chance.sum() == pytest.approx(1, abs=1e-5)
     assert lm.score(frame.limit(0), s).count() == 0
+
+
+class Plain(gru.Trainer):
+    """Updates each class on its own, and counts the updates."""
+
+    calls = 0
+
+    def update(self, name, at, grad):
+        self.calls += 1
+        super().update(name, at, grad)
+
+    def update_classes(self, name, grads, scale):
+        for g, grad in grads.items():
+            super().update(name, slice(g * 4, g * 4 + 4), grad * scale)
+
+
+class Counted(Plain):
+    update_classes = getattr(gru.Trainer, "update_classes", None)
+
+
+def test_a_window_updates_all_classes_at_once():
+    docs = [np.array(d.tolist() * 40, dtype=np.int32) for d in some_docs()]
+    w = weights(3)
+    w["to_word"] *= 8  # some gradients are long enough to be cut
+    plain, counted = Plain(w, SMALL, lanes=8), Counted(w, SMALL, lanes=8)
+    plain.learn(docs)
+    counted.learn(docs)
+    windows = -(-len(gru.lanes_of(docs, 8).active) // 16)
+    assert counted.calls <= 4 * windows
+    for name in w:
+        assert np.allclose(plain.w[name], counted.w[name], atol=2e-3), name
+
+
+def test_sums_of_long_and_short_runs():
+    rng = np.random.default_rng(6)
+    first = np.r_[0, np.cumsum([1, 40, 2, 32, 31, 500])]
+    x = rng.normal(size=(first[-1] + 3, 5))
+    assert np.allclose(gru.sums_of(x, first), np.add.reduceat(x, first, axis=0))
+
+
+def test_training_needs_the_words_of_the_network_only():
+    s = lm.Settings(shape=gru.Shape(vocabulary=4, class_size=2, hidden=3))
+    model = lm.Model(s, [b"a", b"b", b"c", b"d", b"e"], np.arange(5, 0, -1), {}, 15, 6, 0, 0, 1)
+    words = [b"e", b"a", b"zz", b"c", b"d", b"b"]
+    assert model.ids_of(words).tolist() == model.ids(model.ranks(words)).tolist() == [4, 1, 4, 3, 4, 2]
+    assert len(model.own) == 3
