@@ -30,11 +30,12 @@ which counts their common shingles; an aggregate by pair sums the partial counts
 and the sum decides. Nothing else compares two documents, and no task sees a whole
 set. The number of fragments spreads the work and never changes the result.
 
-The few shingles that occur in a thousandth of all documents or more, found in a
-sample (``Settings.sample``), are left out of the counting and are the last in the
-order; their runs are split by hash of the document. In closing, every run of many
-documents is split into blocks by size and hash, and only the documents outside its
-main component visit the blocks. The order decides the cost, never the result.
+The few shingles that occur in a thousandth of all documents or more are counted in
+all of them beforehand (:func:`frequent_shingles`), left out of the counting by
+ranges and are the last in the order; their runs are split by hash of the document.
+In closing, every run of many documents is split into blocks by size and hash, and
+only the documents outside its main component visit the blocks. The order decides
+the cost, never the result.
 
 Defined cases: a null text, or one without words, is the empty set and linked
 with nothing; rows of one id are one document, linked if any of their texts are;
@@ -47,6 +48,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +56,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, remainder_column, slices, to_batch
+from tarnflow.llm.common import arrow_schema, id_and_text, most_frequent, parts, slices, to_batch
 from tarnflow.llm.components import connected_components
 from tarnflow.storage import discard, materialize
 
-#: Distinct words, and classes, that a worker remembers; then it starts anew.
-WORD_CACHE, CACHE = 1 << 16, 200_000
+#: Classes that a worker remembers; then it starts anew.
+CACHE = 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 #: Bits of a shingle within its range; the number of the range stands above them.
@@ -70,6 +72,8 @@ HOT, PART = 1 << 62, 24
 LAST_OCTAVE = 63
 #: Documents that one batch numbers at most.
 BATCH_ROWS = 1 << 16
+#: Shingles that are hashed at a time.
+ROWS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -77,13 +81,20 @@ class Settings:
     words: int = 5
     #: Similarity in percent.
     percent: int = 80
-    #: One document in so many is counted to find frequent shingles: those of a
-    #: ``frequent_share`` of the sampled documents, and of ``frequent_least`` of them.
+    #: Frequent are the shingles of ``sample * frequent_least`` documents or more, and of
+    #: a ``frequent_share`` of all, where documents of more than ``frequent_chars``
+    #: characters on average count as several. Every document is counted (``sample``
+    #: has its name from a time when one in so many was).
     sample: int = 16
     frequent_share: float = 0.001
     frequent_least: int = 16
-    #: Such shingles at most, the most frequent; all others are counted exactly.
+    frequent_chars: int = 4000
+    #: Such shingles at most, the most frequent; all others are counted by ranges.
     frequent: int = 1 << 18
+    #: Shingles that a task looks through together for those that may be frequent, at
+    #: least; and tasks at most for that, unless they get this much each.
+    chunk: int = 2_000_000
+    chunks: int = 64
     #: Shingles that one task counts, about.
     range_size: int = 750_000
     least_ranges: int = 8
@@ -101,36 +112,47 @@ class Settings:
         return n - -(-self.percent * n // 100) + 1
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORDS = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return mix_in_place(x.copy())
+
+
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """The same, over ``x`` itself."""
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(by)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def all_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of the texts, ASCII in lower case, as often as they
+    occur, and how many each text has."""
+    listed = [text.encode("utf-8").lower().split() for text in texts]
+    words = np.fromiter(map(len, listed), dtype=np.int64, count=len(listed))
+    ends, n = np.cumsum(words), int(words.sum())
+    values = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(listed)), dtype=np.uint64, count=n)
+    values, total = np.r_[values, np.zeros(size - 1, dtype=np.uint64)], np.zeros(n, dtype=np.uint64)
+    for low in range(0, n, ROWS):  # blocks that stay in the processor's cache
+        part = total[low : low + ROWS]
+        for k, by in enumerate(np.resize(MULTIPLIERS, size)):
+            part += mix_in_place(values[low + k : low + k + len(part)] * by + np.uint64(k + 1))
+    valid = np.arange(n) + size <= np.repeat(ends, words)
+    for k in np.flatnonzero((words > 0) & (words < size)).tolist():
+        start, few = ends[k] - words[k], int(words[k])
+        total[start] = (values[start : ends[k]] * np.resize(MULTIPLIERS, few)).sum() + np.uint64(few)
+        valid[start] = True
+    return mix_in_place(total[valid]), np.where(words < size, np.minimum(words, 1), words - size + 1)
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text."""
+    found, numbers = all_shingles(texts, size)
+    return [np.unique(x) for x in np.split(found, np.cumsum(numbers)[:-1])]
 
 
 def shingles(text: str, size: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of a text, ASCII in lower case."""
-    words = text.encode("utf-8").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    values = np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(words) < size:
-        whole = values * np.resize(MULTIPLIERS, len(words))
-        return mix(np.array([whole.sum() + np.uint64(len(words))], dtype=np.uint64))
-    total = np.zeros(len(words) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        total += mix(values[k : len(words) - size + 1 + k] * np.resize(MULTIPLIERS, size)[k] + np.uint64(k + 1))
-    return np.unique(mix(total))
+    return shingle_sets([text], size)[0]
 
 
 def key_of(found: np.ndarray) -> tuple[int, int]:
@@ -143,23 +165,80 @@ def key_of(found: np.ndarray) -> tuple[int, int]:
 
 def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles that very many documents share, rarest first, at most
-    ``s.frequent`` of them; and in how many parts (a power of two) the run of each is cut."""
+    ``s.frequent`` of them; and in how many parts (a power of two) the run of each is cut.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Both come from all documents, in two passes. Each chunk of documents has a bound,
+    its share of half of ``least`` by characters, and hands on what its shingles have
+    above it. A shingle of ``least`` documents has ``least`` / 2 above the bounds in
+    all, wherever its documents are, and one with so much occurs as often at least, so
+    there are few. The documents with each of these are counted.
+    """
+    rows = id_and_text(docs).filter("doc_id IS NOT NULL")
+    extent = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    chars = extent["chars"] or 0
+    least = max(s.sample * s.frequent_least, math.ceil(s.frequent_share * max(extent["n"], chars / s.frequent_chars)))
+    if extent["n"] < least or not chars:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+    def above(held: list[np.ndarray], size: int) -> pa.RecordBatch:
+        bound = least * size / chars / 2
+        found = np.concatenate(held)
+        held.clear()
+        found.sort()
+        first = found[: max(0, len(found) - int(bound))]  # with more than the bound, if the one so far on is equal
+        many = np.unique(first[first == found[int(bound) :]])
+        n = np.searchsorted(found, many, "right") - np.searchsorted(found, many)
+        return pa.RecordBatch.from_arrays([pa.array(many.view(np.int64)), pa.array(n - bound)], names=["h", "above"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the chunk that is full waits for another, so that no small one is left over
+        held: list[list] = [[], []]
+        size, many = [0, 0], [0, 0]
         for batch in batches:
             for _, texts in parts(batch):
-                found = np.concatenate([shingles(text, s.words) for text in texts])
+                found, _ = all_shingles(texts, s.words)  # repeated ones make it more at most
                 if len(found):
-                    found, count = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["h", "n"])
-
-    sample = id_and_text(docs).filter(remainder_column(s.sample) == 1)
-    least = max(s.frequent_least, int(s.frequent_share * sample.select("doc_id").count()))
-    often = materialize(sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
-    counts = most_frequent(often, "n", s.frequent)[0].toPandas().sort_values(["n", "h"])
-    discard(often)
-    share = counts["n"].to_numpy(dtype=np.float64) * s.sample / s.part
-    return counts["h"].to_numpy(dtype=np.int64).view(np.uint64), (1 << np.ceil(np.log2(np.maximum(share, 1))).astype(np.int64))
+                    k = int(many[0] >= s.chunk)
+                    held[k].append(found)
+                    size[k] += sum(map(len, texts))
+                    many[k] += len(found)
+                    if many[1] >= s.chunk:
+                        yield above(held[0], size[0])
+                        held, size, many = [held[1], []], [size[1], 0], [many[1], 0]
+        if many[0]:
+            held = [held[0] + held[1]]
+            yield above(held[0], sum(size))
+
+    tasks = max(s.chunks, chars // (6 * s.chunk))
+    maybe = rows.coalesce(tasks).mapInArrow(look, "h long, above double").groupBy("h").agg(F.sum("above").alias("above"))
+    maybe = materialize(maybe.filter(F.col("above") > 0.4999 * least), "frequent")
+    chosen = np.sort(most_frequent(maybe, "above", s.frequent)[0].toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
+    discard(maybe)
+    if not len(chosen):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = sent.value
+        n = np.zeros(len(chosen), dtype=np.int64)
+        for batch in batches:
+            for _, texts in parts(batch):
+                found, numbers = all_shingles(texts, s.words)
+                at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
+                here = chosen[at] == found
+                owner = np.repeat(np.arange(len(texts)), numbers)[here]
+                n += np.bincount(np.unique(owner * len(chosen) + at[here]) % len(chosen), minlength=len(chosen))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["k", "n"])
+
+    total = np.zeros(len(chosen), dtype=np.int64)
+    counts = rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most s.frequent rows
+    total[counts["k"]] = counts["n"]
+    often = total >= least
+    chosen, total = chosen[often], total[often]
+    order = np.lexsort((chosen.view(np.int64), total))
+    share = total[order] / s.part
+    return chosen[order], (1 << np.ceil(np.log2(np.maximum(share, 1))).astype(np.int64))
 
 
 PIECES = "batch long, r int, place int, doc_id long, n long, k1 long, k2 long, rep long, hot binary, owners binary, low binary, high binary"
@@ -182,8 +261,7 @@ def pieces(docs: DataFrame, order: np.ndarray, s: Settings, count: int) -> DataF
     def cut(ids: list, texts: list[str], seen: dict) -> pa.RecordBatch:
         frequent, number = known.value
         sets, rows = [], []
-        for doc_id, text in zip(ids, texts):
-            found = shingles(text, s.words)
+        for doc_id, found in zip(ids, shingle_sets(texts, s.words)):
             n, (k1, k2) = len(found), key_of(found)
             rep, hot = None, None
             if n and doc_id is not None:

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +144,42 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.id: r.component for r in got} == {x: c for x, c in label.items() if x != 7}
     assert len(got) == len({r.id for r in got})
+
+
+def plain_frequent(rows, s, least):
+    """Numbers of documents by hash, of ``least`` or more, rarest first."""
+    counts = {}
+    for doc_id, text in rows:
+        if doc_id is not None:
+            for h in jj.shingles(text or "", s.words).tolist():
+                counts[h] = counts.get(h, 0) + 1
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return sorted(((n, signed(h), h) for h, n in counts.items() if n >= least))
+
+
+def check_frequent(spark, rows, least, partitions=5, **settings):
+    frame, s = run(spark, rows, **settings)
+    expected = plain_frequent(rows, s, least)
+    hashes, cuts = jj.frequent_shingles(frame.coalesce(partitions), s)
+    assert hashes.tolist() == [h for _, _, h in expected]
+    assert cuts.tolist() == [1 << max(0, (-(-n // s.part) - 1).bit_length()) for n, _, _ in expected]
+    return len(expected)
+
+
+def test_frequent_shingles_of_documents_in_no_sample(spark):
+    """The shared passage is in documents only that no sample by remainder holds."""
+    rng = random.Random(5)
+    passage = " ".join(prose(rng, 12))
+    rows = [(k, " ".join(prose(rng, 20)) + ("" if zlib.crc32(str(k).encode()) % 16 == 1 else " " + passage)) for k in range(400)]
+    assert check_frequent(spark, rows, 256, part=3) >= 8
+
+
+def test_frequent_shingles_are_counted_in_all_documents(spark):
+    """Equal to plain counts, in small chunks, wherever the documents are."""
+    for seed, chunk in ((1, 50), (2, 700), (3, 10**6)):
+        rows = corpus(seed)
+        rows.sort(key=lambda r: r[1] or "")  # copies side by side, so many are frequent in one chunk alone
+        for least in (6, 17, 40):
+            check_frequent(spark, rows, least, seed, sample=1, frequent_least=least, chunk=chunk, chunks=2, part=4)
+    assert check_frequent(spark, corpus(1), 6, sample=2, frequent_least=3, chunk=300) > 50
+    assert check_frequent(spark, [(None, "a b c d e f")] * 30 + [(1, None)] * 30, 1, sample=1, frequent_least=1) == 0
