@@ -633,15 +633,16 @@ def linked_pairs(sets: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     Every pair goes to the task of each fragment that both have a segment in, which
     counts what the two segments have in common; the counts are summed by pair.
     (Segments of one set that two tasks have written are equal, hence the maximum.)
+    The last fragment, which has the frequent shingles, is counted first; a pair goes
+    on to the others only if all that they hold of the smaller one could suffice.
     """
+    last = s.fragments - 1
     segments = sets.filter("kind = 2").select("x", "v", "f", "tokens")
     wanted = pairs.select(F.col("a").alias("x"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
     if wanted.count() <= s.sent:
         segments = segments.join(F.broadcast(wanted), ["x", "v"], "left_semi")
-    wide = pairs.select(*PAIR, F.explode(F.sequence(F.lit(0), F.lit(s.fragments - 1))).alias("f"))
     of_a = segments.select(F.col("x").alias("a"), F.col("v").alias("va"), "f", F.col("tokens").alias("tokens_a"))
     of_b = segments.select(F.col("x").alias("b"), F.col("v").alias("vb"), "f", F.col("tokens").alias("tokens_b"))
-    rows = wide.join(of_a.hint("merge"), ["a", "va", "f"]).join(of_b.hint("merge"), ["b", "vb", "f"]).select(*PAIR, "f", "tokens_a", "tokens_b")
     schema = ", ".join(f"{c} long" for c in PAIR) + ", f int, c int"
     kinds = arrow_schema(sets.sparkSession, schema)
 
@@ -650,11 +651,25 @@ def linked_pairs(sets: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
             for piece in slices(batch, 1024):
                 yield pa.RecordBatch.from_arrays([*(piece.column(c).cast(kinds.field(c).type) for c in (*PAIR, "f")), pa.array(common(piece), type=pa.int32())], schema=kinds)
 
-    partial = rows.mapInArrow(run, schema)
-    summed = partial.groupBy(*PAIR).agg(*(F.max(F.when(F.col("f") == k, F.col("c")).otherwise(0)).cast("long").alias(f"c{k}") for k in range(s.fragments)))
-    overlap = sum((F.col(f"c{k}") for k in range(1, s.fragments)), F.col("c0"))
-    good = summed.withColumn("overlap", overlap).filter(f"100 * overlap >= {s.percent} * (na + nb - overlap)")
-    return good.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def counts(wide: DataFrame, fragments: range) -> DataFrame:
+        """The sum over the fragments of each row's pair and ``f``."""
+        rows = wide.join(of_a.hint("merge"), ["a", "va", "f"]).join(of_b.hint("merge"), ["b", "vb", "f"]).select(*PAIR, "f", "tokens_a", "tokens_b")
+        summed = rows.mapInArrow(run, schema).groupBy(*PAIR).agg(*(F.max(F.when(F.col("f") == k, F.col("c")).otherwise(0)).cast("long").alias(f"c{k}") for k in fragments))
+        return summed.select(*PAIR, sum((F.col(f"c{k}") for k in fragments), F.lit(0)).alias("c"))
+
+    def reach(overlap: str):
+        return F.expr(f"100 * {overlap} >= {s.percent} * (na + nb - {overlap})")
+
+    found = pairs.select(*PAIR).join(counts(pairs.select(*PAIR, F.lit(last).alias("f")), range(last, s.fragments)), PAIR, "left").withColumn("overlap", F.coalesce("c", F.lit(0))).drop("c")
+    if last:
+        others = segments.filter(F.col("f") < last).groupBy("x", "v").agg(F.sum(F.length("tokens") / 6).cast("long").alias("m"))
+        for x, v in (("a", "va"), ("b", "vb")):
+            found = found.join(others.select(F.col("x").alias(x), F.col("v").alias(v), F.col("m").alias(f"m{x}")).hint("merge"), [x, v], "left")
+        found = found.withColumn("most", F.col("overlap") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))).filter(reach("most"))
+        found = materialize(found.select(*PAIR, "overlap"), "possible")
+        rest = counts(found.select(*PAIR, F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("f")), range(last))
+        found = found.join(rest, PAIR, "left").withColumn("overlap", F.col("overlap") + F.coalesce("c", F.lit(0)))
+    return found.filter(reach("overlap")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def class_edges(known: DataFrame) -> DataFrame:

@@ -183,3 +183,21 @@ def test_frequent_shingles_are_counted_in_all_documents(spark):
             check_frequent(spark, rows, least, seed, sample=1, frequent_least=least, chunk=chunk, chunks=2, part=4)
     assert check_frequent(spark, corpus(1), 6, sample=2, frequent_least=3, chunk=300) > 50
     assert check_frequent(spark, [(None, "a b c d e f")] * 30 + [(1, None)] * 30, 1, sample=1, frequent_least=1) == 0
+
+
+def test_pairs_that_cannot_link_leave_after_one_fragment(spark, monkeypatch):
+    """Documents of a frequent passage with one or two other words, and a half by group."""
+    rng = random.Random(8)
+    passage, halves = prose(rng, 60), [prose(rng, 40) for _ in range(6)]
+    rows = [(k, " ".join(edit(rng, passage, (0.01, 0.04)[k % 2]) + halves[k % 6])) for k in range(90)]
+    written = {}
+
+    def materialize(frame, name, plain=jj.materialize):
+        found = plain(frame, name)
+        written[name] = written.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(jj, "materialize", materialize)
+    frame, s = run(spark, rows, sample=1, frequent_least=40)
+    assert sorted((tuple(r) for r in jj.join_components(frame, s).collect()), key=str) == brute(rows)
+    assert written["possible"] < written["pairs"]
