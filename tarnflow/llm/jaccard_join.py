@@ -91,10 +91,12 @@ class Settings:
     frequent_chars: int = 4000
     #: Such shingles at most, the most frequent; all others are counted by ranges.
     frequent: int = 1 << 18
-    #: Shingles that a task looks through together for those that may be frequent, at
-    #: least; and tasks at most for that, unless they get this much each.
+    #: Half the shingles that a task looks through together for those that may be frequent;
+    #: and tasks at most for that, unless they get ``chunk`` each. A task has a share of
+    #: ``frequent_task`` documents at least of those that make a shingle frequent.
     chunk: int = 2_000_000
     chunks: int = 64
+    frequent_task: int = 32
     #: Shingles that one task counts, about.
     range_size: int = 750_000
     least_ranges: int = 8
@@ -163,15 +165,36 @@ def key_of(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def counted_above(h: np.ndarray, above: np.ndarray, held: list[np.ndarray], bound: float, cut: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes with more than ``cut``, and how much: what they had ``above``
+    (``h``, sorted) and have in ``held``, which is emptied, less ``bound``."""
+    found = np.concatenate([h[:0], *held])
+    held.clear()
+    found.sort()
+    least = int(bound + cut)
+    first = found[: max(0, len(found) - least)]  # with more than both, if the one so far on is equal
+    every = np.concatenate([h, first[first == found[least:]]])
+    every.sort()
+    every = every[np.diff(every, prepend=~every[:1]) != 0]
+    n = np.searchsorted(found, every, "right") - np.searchsorted(found, every) - bound
+    n[np.searchsorted(every, h)] += above
+    return every[n > cut], n[n > cut]
+
+
 def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles that very many documents share, rarest first, at most
     ``s.frequent`` of them; and in how many parts (a power of two) the run of each is cut.
 
-    Both come from all documents, in two passes. Each chunk of documents has a bound,
-    its share of half of ``least`` by characters, and hands on what its shingles have
-    above it. A shingle of ``least`` documents has ``least`` / 2 above the bounds in
-    all, wherever its documents are, and one with so much occurs as often at least, so
-    there are few. The documents with each of these are counted.
+    Both come from all documents, in two passes. Each task has a bound, its share of
+    half of ``least`` by characters, and hands on what its shingles have above it. A
+    shingle of ``least`` documents has ``least`` / 2 above the bounds in all, wherever
+    its documents are, and one with so much occurs as often at least, so there are few.
+    The documents with each of these are counted.
+
+    Half of a task's bound is taken off piece by piece, so that it remembers few
+    shingles, the other half at its end. The bound does not fall as the table grows:
+    there is a task for every ``s.frequent_task`` of ``least``, and so the rows of all
+    tasks grow as the table does.
     """
     rows = id_and_text(docs).filter("doc_id IS NOT NULL")
     extent = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
@@ -180,36 +203,25 @@ def frequent_shingles(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndar
     if extent["n"] < least or not chars:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
-    def above(held: list[np.ndarray], size: int) -> pa.RecordBatch:
-        bound = least * size / chars / 2
-        found = np.concatenate(held)
-        held.clear()
-        found.sort()
-        first = found[: max(0, len(found) - int(bound))]  # with more than the bound, if the one so far on is equal
-        many = np.unique(first[first == found[int(bound) :]])
-        n = np.searchsorted(found, many, "right") - np.searchsorted(found, many)
-        return pa.RecordBatch.from_arrays([pa.array(many.view(np.int64)), pa.array(n - bound)], names=["h", "above"])
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the chunk that is full waits for another, so that no small one is left over
-        held: list[list] = [[], []]
-        size, many = [0, 0], [0, 0]
+        h, above = np.empty(0, dtype=np.uint64), np.empty(0)
+        held: list[np.ndarray] = []
+        many = size = total = 0
         for batch in batches:
             for _, texts in parts(batch):
                 found, _ = all_shingles(texts, s.words)  # repeated ones make it more at most
-                if len(found):
-                    k = int(many[0] >= s.chunk)
-                    held[k].append(found)
-                    size[k] += sum(map(len, texts))
-                    many[k] += len(found)
-                    if many[1] >= s.chunk:
-                        yield above(held[0], size[0])
-                        held, size, many = [held[1], []], [size[1], 0], [many[1], 0]
-        if many[0]:
-            held = [held[0] + held[1]]
-            yield above(held[0], sum(size))
-
-    tasks = max(s.chunks, chars // (6 * s.chunk))
+                held.append(found)
+                size += sum(map(len, texts))
+                many += len(found)
+                if many >= 2 * s.chunk:
+                    h, above = counted_above(h, above, held, least * size / chars / 4)
+                    total += size
+                    many = size = 0
+        cut = least * (total + size) / chars / 4
+        h, above = counted_above(h, above, held, least * size / chars / 4, cut)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(above - cut)], names=["h", "above"])
+
+    tasks = min(max(s.chunks, chars // (6 * s.chunk)), max(1, least // s.frequent_task))
     maybe = rows.coalesce(tasks).mapInArrow(look, "h long, above double").groupBy("h").agg(F.sum("above").alias("above"))
     maybe = materialize(maybe.filter(F.col("above") > 0.4999 * least), "frequent")
     chosen = np.sort(most_frequent(maybe, "above", s.frequent)[0].toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))

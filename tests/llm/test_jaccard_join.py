@@ -185,6 +185,49 @@ def test_frequent_shingles_are_counted_in_all_documents(spark):
     assert check_frequent(spark, [(None, "a b c d e f")] * 30 + [(1, None)] * 30, 1, sample=1, frequent_least=1) == 0
 
 
+def test_rows_that_may_be_frequent_grow_as_the_documents_do(spark, monkeypatch):
+    """Five times the documents, with as many more passages of ten documents or so: no more than about five times the rows."""
+    rng = random.Random(12)
+    made, kind = [], type(spark.range(1))
+
+    def group(frame, *columns, plain=kind.groupBy):
+        if "h" in map(str, columns) and "above" in frame.columns:
+            made.append(frame.count())
+        return plain(frame, *columns)
+
+    monkeypatch.setattr(kind, "groupBy", group)
+    common = " ".join(prose(rng, 12))
+    for n in (1000, 5000):
+        passages = [" ".join(prose(rng, 12)) for _ in range(n // 5)]
+        rows = [(k, " ".join([rng.choice(passages), rng.choice(passages), *[common][: k % 5 == 0]])) for k in range(n)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(n // 50)
+        s = jj.Settings(sample=1, frequent_least=64)
+        assert jj.frequent_shingles(frame, s)[0].tolist() == [h for _, _, h in plain_frequent(rows, s, 64)] != []
+    assert made[0] and made[1] <= 7 * made[0]
+
+
+def test_frequent_shingles_of_many_tasks_and_pieces(spark):
+    """Nothing that is frequent is lost, wherever it is, between the pieces of a task or the tasks."""
+    for seed, chunk, each in ((1, 20, 1), (2, 60, 3), (3, 400, 5)):
+        rows = corpus(seed)
+        for partitions in (3, 17):
+            assert check_frequent(spark, rows, 12, partitions, sample=1, frequent_least=12, chunk=chunk, frequent_task=each, part=4)
+
+
+def test_counts_above_bounds():
+    """What is left above the bounds of all pieces is at least the count less the bounds, and at most the count."""
+    rng = np.random.default_rng(4)
+    for bound, cut in ((0.3, 0), (2.5, 4.2), (3.0, 9)):
+        h, above = np.empty(0, dtype=np.uint64), np.empty(0)
+        pieces = [(rng.integers(0, 60, 200) ** 2).astype(np.uint64) for _ in range(5)] + [np.empty(0, np.uint64)]
+        for k, piece in enumerate(pieces):
+            h, above = jj.counted_above(h, above, [piece[:70].copy(), piece[70:].copy()], bound, cut * (k == 5))
+        assert (np.diff(h.astype(np.int64)) > 0).all() and (above > cut).all()
+        got = dict(zip(h.tolist(), above.tolist()))
+        for x, n in zip(*np.unique(np.concatenate(pieces), return_counts=True)):
+            assert got.get(int(x), cut) >= n - 6 * bound - 1e-9 and got.get(int(x), 0) <= n
+
+
 def test_pairs_that_cannot_link_leave_after_one_fragment(spark, monkeypatch):
     """Documents of a frequent passage with one or two other words, and a half by group."""
     rng = random.Random(8)
