@@ -149,3 +149,16 @@ def test_buckets_are_merged(spark):
     parts = [aggregate.bucket_totals(rows.filter(F.col("v") % 3 == k), "t", F.col("v"), 60) for k in range(3)]
     out = aggregate.bucketed_stats(aggregate.merge_buckets(*parts), 60, {"last_three": 180, "last": 60}).first()
     assert tuple(out) == (45, 24, 9)
+
+
+def test_inner_join_deals_large_products_to_many_tasks(spark):
+    names = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, n string")
+    a = spark.range(90).selectExpr("cast(if(id < 80, 1, 2) as int) k", "id a").unionByName(spark.createDataFrame([(None, 5)], "k int, a long"))
+    b = spark.range(200).selectExpr("cast(if(id < 150, 1, 2) as int) k", "id b").unionByName(spark.createDataFrame([(None, 5), (3, 6)], "k int, b long"))
+    plain, dealt = join.inner_join([names, a, b], ["k"]), join.inner_join([names, a, b], ["k"], most=500)
+    assert dealt.columns == plain.columns and dealt.count() == 80 * 150 + 10 * 50
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
+    swapped = join.inner_join([names, b, a], ["k"], most=500)
+    assert swapped.selectExpr("k", "s0", "s2 s1", "s1 s2").exceptAll(plain).isEmpty() and swapped.count() == plain.count()
+    tasks = [r["count"] for r in dealt.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < 80 * 150 * 0.8
