@@ -1,5 +1,7 @@
+import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,26 @@ def test_pi_and_covers(spark):
     covers = algorithms.cover_distributed(spark, *algorithms.sudoku_rows(board, (2, 2))[:2])
     assert covers.distinct().count() == covers.count() == 288
     assert algorithms.cover_distributed(spark, [frozenset("ab")], ["a", "b", "c"]).count() == 0
+
+
+def test_pairs_are_counted_before_the_shuffle():
+    """Long and short lists, in pieces of any size; equal pairs of a piece are one row."""
+    lists = [[1, 2, 5], [], [5], [1, 2, 5], list(range(40)), [2, 5]]
+    expected = collections.Counter((x, y) for words in lists for x in words for y in words if y <= x)
+    for most in (1, 50, 1000, 1 << 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(part, type=pa.list_(pa.int32()))], names=["words"]).slice(1) for part in ([[9], *lists[:3]], [[9], *lists[3:]])]
+        got, rows = collections.Counter(), 0
+        for batch in algorithms.count_pairs(iter(batches), most):
+            for code, n in zip(*(c.to_pylist() for c in batch.columns)):
+                got[code >> 32, code & 0xFFFFFFFF] += n
+                rows += 1
+        assert got == expected
+    assert rows == len(expected)
+
+
+def test_apriori_words_of_odd_lines(spark):
+    """A line end within a line is a character as others; words are matched whole."""
+    rows = [("zeb1\r pony, pony",), (None,), ("",), ("pony. Pony x zebra\r \u00e9t pon\u00e9 pony\u2028",)]
+    got = {r.pair: r.cnt for r in algorithms.apriori_pairs(spark.createDataFrame(rows, "line string"), "line").collect()}
+    words = [["pony"], ["pony", "zebra", "pon\u00e9", "pony\u2028"]]
+    assert got == collections.Counter(f"{x}&{y}" for w in words for x in w for y in w if x >= y for _ in range(1 if x == y else 2))
