@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.functions.text import split_key_value
+from tarnflow.storage import materialize
 
 #: Types that :func:`aggregate` knows.
 TYPES = ("LongValueSum", "DoubleValueSum", "LongValueMax", "LongValueMin", "StringValueMax", "StringValueMin", "UniqValueCount", "ValueHistogram")
@@ -69,8 +70,7 @@ def aggregate(df: DataFrame, emits: list[Emit], most_unique: int | None = None,
     if by_value:
         counted = _unpivoted(df, by_value).groupBy("type", "id", "value").agg(F.count("*").alias("n"))
         if any(e.kind == "UniqValueCount" for e in by_value):
-            unique = F.count("*") if most_unique is None else F.least(F.count("*"), F.lit(most_unique + 1))
-            results.append(counted.filter(F.col("type") == "UniqValueCount").groupBy("type", "id").agg(unique.cast("string").alias("result")))
+            results.append(_unique_text(counted, most_unique))
         if any(e.kind == "ValueHistogram" for e in by_value):
             results.append(_histogram_text(counted))
     out = results[0]
@@ -91,9 +91,21 @@ def aggregate_lines(lines: DataFrame, column: str = "value", most_unique: int |
     kind, name = F.substring_index(key, ":", 1), F.expr(f"substring({column}, instr({column}, ':') + 1)")
     known = kind.isin(*TYPES) & (F.instr(key, ":") > 0)
     checked = F.when(known, kind).otherwise(F.raise_error(F.concat(F.lit("not an aggregate: "), key)))
-    rows = lines.select(checked.alias("kind"), split_key_value(name)[0].alias("id"), value.alias("value"))
-    # one emit for each type; a row's value counts for its own type only
-    return aggregate(rows, [Emit(k, F.col("id"), F.when(F.col("kind") == k, F.col("value"))) for k in TYPES], most_unique)
+    rows = lines.select(checked.alias("type"), split_key_value(name)[0].alias("id"), value.alias("value")).filter("value IS NOT NULL")
+    # the lines are read once, also where they come from a process: all types combine in
+    # one pass, by value where a type needs that
+    kind, each = F.col("type"), [combine(F.when(F.col("type") == k, F.col("value"))).cast("string").alias(f"r{n}") for n, (k, combine) in enumerate(COMBINED.items())]
+    split = rows.withColumn("__value", F.when(~kind.isin(*COMBINED), F.col("value")))
+    once = materialize(split.groupBy("type", "id", "__value").agg(*each, F.count("*").alias("n")), "aggregated")
+    chosen = F.coalesce(*(F.when(kind == k, F.col(f"r{n}")) for n, k in enumerate(COMBINED)))
+    direct = once.filter(kind.isin(*COMBINED)).select("type", "id", chosen.alias("result"))
+    counted = once.filter(~kind.isin(*COMBINED)).select("type", "id", F.col("__value").alias("value"), "n")
+    return direct.unionByName(_unique_text(counted, most_unique)).unionByName(_histogram_text(counted))
+
+
+def _unique_text(counted: DataFrame, most_unique: int | None) -> DataFrame:
+    unique = F.count("*") if most_unique is None else F.least(F.count("*"), F.lit(most_unique + 1))
+    return counted.filter(F.col("type") == "UniqValueCount").groupBy("type", "id").agg(unique.cast("string").alias("result"))
 
 
 def _histogram_text(counted: DataFrame) -> DataFrame:

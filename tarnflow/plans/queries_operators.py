@@ -149,7 +149,7 @@ def plugin_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aggregate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reducer of ``Type:id`` lines that an external mapper writes."""
     orders = table(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_orderstatus", F.col("o_custkey").cast("string"), "o_orderpriority").alias("value"))
-    script = 'while read s c p; do printf "LongValueSum:%s\\t1\\nLongValueMax:%s\\t%s\\nUniqValueCount:%s\\t%s\\n" "$s" "$s" "$c" "$s" "$p"; done'
+    script = r"sed -E 's/^([^ ]*) ?([^ ]*) ?(.*)$/LongValueSum:\1\t1\nLongValueMax:\1\t\2\nUniqValueCount:\1\t\3/'"
     lines = pipe_map(orders, script).select(F.concat_ws("\t", "key", "value").alias("value"))
     return aggregate.aggregate_lines(lines)
 

@@ -162,3 +162,18 @@ def test_inner_join_deals_large_products_to_many_tasks(spark):
     assert swapped.selectExpr("k", "s0", "s2 s1", "s1 s2").exceptAll(plain).isEmpty() and swapped.count() == plain.count()
     tasks = [r["count"] for r in dealt.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 1 and max(tasks) < 80 * 150 * 0.8
+
+
+def test_aggregate_lines_are_read_once(spark):
+    """Lines of a process come from one run of it, whatever their types."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def lines(batches):
+        runs.add(1)
+        yield from batches
+
+    rows = spark.createDataFrame([("LongValueSum:a\t2",), ("LongValueSum:a\t3",), ("UniqValueCount:a\tx",), ("UniqValueCount:a\tx",), ("UniqValueCount:a\ty",), ("ValueHistogram:h\tx",), ("DoubleValueSum:d\t0.5",), ("StringValueMin:a\tq",)], "value string")
+    got = aggregate.aggregate_lines(rows.coalesce(1).mapInArrow(lines, "value string"))
+    found = {(r.type, r.id): r.result.split("\t")[0] for r in got.collect()}
+    assert found == {("LongValueSum", "a"): "5", ("UniqValueCount", "a"): "2", ("ValueHistogram", "h"): "1", ("DoubleValueSum", "d"): "0.5", ("StringValueMin", "a"): "q"}
+    assert runs.value == 1
