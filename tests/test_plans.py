@@ -226,3 +226,28 @@ def test_apriori_words_of_odd_lines(spark):
     got = {r.pair: r.cnt for r in algorithms.apriori_pairs(spark.createDataFrame(rows, "line string"), "line").collect()}
     words = [["pony"], ["pony", "zebra", "pon\u00e9", "pony\u2028"]]
     assert got == collections.Counter(f"{x}&{y}" for w in words for x in w for y in w if x >= y for _ in range(1 if x == y else 2))
+
+
+def test_incremental_distances_within_relaxations(spark):
+    """A long chain is cut off at the bound, as a run on the new links is; distances that
+    a deleted link supported come from longer ways again."""
+    rng = random.Random(5)
+    links = {(k, k + 1): 1.0 for k in range(40)} | {(rng.randrange(30), rng.randrange(30)): float(rng.randint(2, 60)) for _ in range(60)}
+    gone = [e for e in links if e[0] % 7 == 3]
+    added = {(a, (b * 31 + 7) % 45): links[a, b] for a, b in gone}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src long, dst long, w double")
+    delta = spark.createDataFrame([(a, b, links[a, b], "-") for a, b in gone] + [(a, b, w, "+") for (a, b), w in added.items()], "src long, dst long, w double, op string")
+    now = [(a, b, w) for (a, b), w in links.items() if (a, b) not in gone] + [(a, b, w) for (a, b), w in added.items()]
+    for bound in (3, 12):
+        expected = {0: 0.0}
+        for _ in range(bound):
+            expected = min_of([*expected.items(), *((b, expected[a] + w) for a, b, w in now if a in expected)])
+        old = algorithms.sssp(edges, 0, bound, until_stable=True, keep_steps=True).state.selectExpr("dk node", "steps")
+        assert {r.node: r.dist for r in incremental.incremental_sssp_steps(edges, old, delta, 0, bound).collect()} == expected
+
+
+def min_of(offers):
+    best = {}
+    for node, dist in offers:
+        best[node] = min(dist, best.get(node, dist))
+    return best
