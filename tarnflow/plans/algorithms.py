@@ -30,11 +30,12 @@ def grep(df: DataFrame, column: str, pattern: str, group: int = 0) -> DataFrame:
     return found.groupBy("match").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "match")
 
 
-def pagerank(edges: DataFrame, iterations: int, threshold: float | None = None, checkpoint_every: int = 1) -> Result:
+def pagerank(edges: DataFrame, iterations: int, threshold: float | None = None, checkpoint_every: int = 1, still: float | None = None) -> Result:
     """Ranks of a link list ``src, dst`` (parallel links count): all sources start
     at 1; a node's next rank is 0.2 + 0.8 x the shares of the nodes that link to it.
     A step reads the state once, so several of them can share a job
-    (``checkpoint_every``)."""
+    (``checkpoint_every``); with ``still`` they end once no rank moves by more than
+    that between checkpoints."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = edges.groupBy("src", "dst").agg(F.count("*").alias("links")).join(out, "src")
     static = links.select(F.col("src").alias("sk"), "dst", (F.lit(DAMPING) * F.col("links") / F.col("out")).alias("share"))
@@ -45,7 +46,7 @@ def pagerank(edges: DataFrame, iterations: int, threshold: float | None = None,
         return nodes.join(sums, "dk", "left").select("dk", (F.lit(BASE) + F.coalesce("s", F.lit(0.0))).alias("dv"))
 
     first = edges.select(F.col("src").alias("dk")).distinct().withColumn("dv", F.lit(1.0))
-    return IterativeJob(static, first, Projector(F.col("sk")), step).run(iterations, threshold, checkpoint_every)
+    return IterativeJob(static, first, Projector(F.col("sk")), step).run(iterations, threshold, checkpoint_every, still)
 
 
 def sssp(edges: DataFrame, source: int, iterations: int, until_stable: bool = False, keep_steps: bool = False) -> Result:

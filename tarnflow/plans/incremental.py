@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.plans.algorithms import BASE, DAMPING
+from tarnflow.plans.iterate import Projector
 from tarnflow.storage import discard, exists, materialize, numbered_folders
 
 
@@ -127,14 +128,17 @@ def incremental_pagerank(edges: DataFrame, ranks: DataFrame, delta: DataFrame, t
         return after.withColumn("active", F.abs(F.col("rank") - F.col("sent")) > threshold)
 
     now = materialize(received(state, change), "ranks")
+    # dealt by source once, so that a step shuffles no links but those that are sent
+    prepared = Projector(F.col("sk")).prepare(weights.withColumnRenamed("src", "sk"))
     for _ in range(iterations):
         if now.filter("active").isEmpty():
             break
-        sends = now.filter("active").select(F.col("node").alias("src"), (F.col("rank") - F.col("sent")).alias("gap"))
-        change = weights.join(sends, "src").select(F.col("dst").alias("node"), (DAMPING * F.col("gap") * F.col("links") / F.col("out")).alias("c"))
+        sends = now.filter("active").select(F.col("node").alias("dk"), (F.col("rank") - F.col("sent")).alias("gap"))
+        change = prepared.join(sends, "dk").select(F.col("dst").alias("node"), (DAMPING * F.col("gap") * F.col("links") / F.col("out")).alias("c"))
         told = now.select("node", "rank", F.when(F.col("active"), F.col("rank")).otherwise(F.col("sent")).alias("sent"))
         before, now = now, materialize(received(told, change), "ranks")
         discard(before)
+    prepared.unpersist()
     return now.select("node", "rank")
 
 

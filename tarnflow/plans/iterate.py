@@ -83,11 +83,13 @@ class IterativeJob:
     distance: Column | None = None
     done: Callable[[int, DataFrame], None] | None = None
 
-    def run(self, iterations: int, threshold: float | None = None, checkpoint_every: int = 1) -> Result:
+    def run(self, iterations: int, threshold: float | None = None, checkpoint_every: int = 1, still: float | None = None) -> Result:
         """At most ``iterations`` steps; with a threshold, until the summed distance
-        is below it."""
+        is below it; with ``still``, until no key moved by more than that from one
+        checkpoint to the next."""
         prepared = self.projector.prepare(self.static)
         state, distance, converged, turn = self.state, None, False, 0
+        written = None
         try:
             for turn in range(1, iterations + 1):
                 new = self.step(self.projector.pair(prepared, state), state)
@@ -96,9 +98,13 @@ class IterativeJob:
                 if threshold is not None:
                     distance = total_distance(state, new, self.distance)
                     converged = distance < threshold
-                before, state = state, new
-                if turn > 1 and hasattr(new, "_written_to"):
-                    discard(before)  # the new state is written and does not read it
+                state = new
+                if hasattr(new, "_written_to"):
+                    if still is not None and written is not None:
+                        converged = converged or largest_move(written, new) <= still
+                    if written is not None:
+                        discard(written)  # the new state is written and does not read it
+                    written = new
                 if self.done:
                     self.done(turn, state)
                 if converged:
@@ -115,6 +121,12 @@ def total_distance(old: DataFrame, new: DataFrame, distance: Column | None = Non
     return float(both.agg(F.sum(each).alias("d")).first()["d"] or 0.0)
 
 
+def largest_move(old: DataFrame, new: DataFrame) -> float:
+    """The greatest difference of a key; a key in one state only moved by any measure."""
+    both = old.select("dk", F.col("dv").alias("prev")).join(new.select("dk", F.col("dv").alias("curr")), "dk", "full")
+    return float(both.agg(F.max(F.coalesce(F.abs(F.col("curr") - F.col("prev")), F.lit(float("inf")))).alias("d")).first()["d"] or 0.0)
+
+
 def identity_map(paired: DataFrame) -> DataFrame:
     """(static key, state value) of every pair."""
     return paired.select(F.col("sk").alias("k"), F.col("dv").alias("v"))

@@ -251,3 +251,13 @@ def min_of(offers):
     for node, dist in offers:
         best[node] = min(dist, best.get(node, dist))
     return best
+
+
+def test_ranks_end_once_they_are_still(spark):
+    rng = random.Random(3)
+    links = [(a, rng.randrange(30)) for a in range(30) for _ in range(5)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    done = algorithms.pagerank(edges, 100, checkpoint_every=5, still=1e-12)
+    assert done.converged and done.iterations < 100
+    expected = ranks_of(links, 100)
+    assert {r.dk: pytest.approx(r.dv, abs=1e-11) for r in done.state.collect()} == expected
